@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,6 +22,26 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session without it a new one."""
+    if not (folder := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="codeloom-")
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder, and read from there: later uses don't compute it again,
+    and a lost executor loses none of it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/codeloom-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """On the driver: what tasks make their batches by."""
     return to_arrow_schema(StructType.fromDDL(ddl))
