@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, line_dedup, packing, pii, quality, secrets, token_count, url_filter
+from codeloom.llm import bpe, line_dedup, near_dup, packing, pii, quality, secrets, token_count, topk_search, url_filter
 from codeloom.llm.common import table
 
 
@@ -33,6 +33,15 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = table(spark, sf_dir, "embeddings").select("vec_id", topk_search.quantized(F.col("embedding")).alias("vector"))
+    return topk_search.top_k(data.where("vec_id % 20 = 0"), data)
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.find_secrets(docs, secrets.learn_formats(docs))
@@ -64,7 +73,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_pii, op4_bpe, op5_token_counts, op8_secrets, op9_packing, op10_url_filter)}
+    return {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_pii, op4_bpe, op5_token_counts, op6_topk, op7_near_duplicates, op8_secrets, op9_packing, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
