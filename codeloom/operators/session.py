@@ -41,7 +41,8 @@ def facts(rows: DataFrame, root: str, mark: str = "codeloom") -> DataFrame:
     reads, emits = tool & (F.col("b.name") == "Read"), tool & F.lower("b.name").contains(mark)
     path = F.when(reads, _rel(F.col("b.input.file_path"), root)).when(emits, F.coalesce(_rel(F.col("b.input.target"), root), _rel(F.col("b.input.path"), root)))
     text = F.when((F.col("b.type").isNull()) | (F.col("b.type") != "tool_use"), F.floor(F.length(F.coalesce("b.content", "b.text")) / 4))
-    return each.select("seq", "session_id", "type", F.when(F.coalesce("block", F.lit(0)) == 0, F.col("usage")).alias("usage"), text.alias("estimate"), path.alias("path"), F.when(reads, F.col("b.input.offset")).alias("offset"), F.when(reads, F.col("b.input.limit")).alias("limit"), F.coalesce(emits, F.lit(False)).alias("emitted"))
+    first = F.coalesce("block", F.lit(0)) == 0  # what is of the record counts once
+    return each.select("seq", "session_id", F.when(first, F.col("type")).alias("type"), F.when(first, F.col("usage")).alias("usage"), text.alias("estimate"), path.alias("path"), F.when(reads, F.col("b.input.offset")).alias("offset"), F.when(reads, F.col("b.input.limit")).alias("limit"), F.coalesce(emits, F.lit(False)).alias("emitted"))
 
 
 def sessions(flat: DataFrame) -> DataFrame:
