@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from codeloom.llm import bpe, line_dedup, near_dup, packing, pii, quality, secrets, token_count, topk_search, url_filter
 from codeloom.llm.common import table
+from codeloom.llm.oracles import oracle_sql
+
+__all__ = ["oracle_sql", "queries"]
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +77,3 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_pii, op4_bpe, op5_token_counts, op6_topk, op7_near_duplicates, op8_secrets, op9_packing, op10_url_filter)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
