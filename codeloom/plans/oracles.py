@@ -127,7 +127,6 @@ BODIES: dict[str, tuple[bool, str, str]] = {
     "refs_graph_full": (True, LADDER, GRAPH),
     "ambiguous_calls": (False, LADDER, "SELECT caller, w.name, len(ids) AS n, array_to_string(ids, ',') AS candidates FROM (SELECT DISTINCT caller, name FROM won WHERE target IS NULL) w JOIN (SELECT name, list(id ORDER BY test, id) AS ids FROM sym GROUP BY 1) c ON c.name = w.name"),
     "ambiguous_in": (True, LADDER, "SELECT id AS candidate, count(*) AS n FROM (SELECT DISTINCT caller, name FROM won WHERE target IS NULL) w JOIN sym ON sym.name = w.name GROUP BY 1"),
-    "external_calls": (True, "", "SELECT caller, callee, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS lines FROM (SELECT DISTINCT caller, CASE WHEN receiver IS NULL THEN name ELSE receiver || '.' || name END AS callee, line FROM rc WHERE line % 7 = 0) GROUP BY 1, 2"),
     "hotspots_fan_in": (False, "", "SELECT id, fan_in, path, start_line FROM deg WHERE fan_in > 0 ORDER BY fan_in DESC, path, start_line LIMIT 10"),
     "hotspots_fan_out": (False, "", "SELECT id, fan_out, path, start_line FROM deg WHERE fan_out > 0 ORDER BY fan_out DESC, path, start_line LIMIT 10"),
     "largest_files": (False, "", "SELECT path, count(*) AS symbols FROM sym GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"),
