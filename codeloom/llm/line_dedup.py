@@ -7,7 +7,8 @@ word at the place where they differ, or once the longer drops its extra word. So
 
 A variant's key comes from the sum and the exclusive or of hashes of neighbouring words, so that each follows from
 the line's by three terms. Only
-lines that share a half with another distinct line can be within distance 1, so only these emit variants.
+lines that share their first or last words with another distinct line can be within distance 1, so only these emit
+variants.
 """
 
 from __future__ import annotations
@@ -25,23 +26,33 @@ def pair_hashes(words: Column) -> Column:
     return F.zip_with(ahead, after, lambda a, b: F.xxhash64(a, b))
 
 
+def n_words(line: Column) -> Column:
+    return F.length(line) - F.length(F.translate(line, " ", "")) + 1
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """Lines of ``min_words`` words or more: id, key (of the text), pos, words, h1 and h2 (of the normalised line)."""
+    """Lines of ``min_words`` words or more: id, key (of the text), pos, h1 and h2 (of the normalised line), anchors."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    each = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    each = each.withColumn("line", normal_line(F.col("line"))).where(F.length("line") - F.length(F.translate("line", " ", "")) + 1 >= min_words)
-    return each.select("id", "key", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.split("line", " ").alias("words"))
+    # what is of the document comes before the lines, else it would be computed for each line
+    whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), F.transform(F.split(text, "\n"), normal_line).alias("all"))
+    each = whole.select("id", "key", F.posexplode_outer("all").alias("pos", "line")).where(n_words(F.col("line")) >= min_words)
+    return each.select("id", "key", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), anchors(F.col("line"), min_words).alias("anchors"))
+
+
+def anchors(line: Column, min_words: int) -> Column:
+    """Hashes of what a line shares with any line within distance 1: the first or the last words, since the edit is in
+    one place. Of two lines, the longer of n words, these are the most words that fit twice into n - 1, rounded down to
+    a power of two; so a line has one class of anchors, or two if its size is at the end of a class."""
 
+    def size(n: Column) -> Column:
+        fit = F.floor((n - 1) / 2)
+        return F.when(fit < 4, fit).otherwise(F.pow(F.lit(2), F.floor(F.log2(fit)))).cast("int")
 
-def halves() -> list[Column]:
-    """Keys of the first and the last half that a line shares with any line within distance 1, as the longer or the shorter."""
-    w, out = F.col("words"), []
-    n = F.size(w)
-    for longer in (0, 1):  # the words of the longer line, less its edited word, are the halves
-        a = F.floor((n + longer - 1) / 2).cast("int")
-        b = n + longer - 1 - a
-        out += [F.xxhash64(F.lit(0), n + longer, F.slice(w, 1, a)), F.xxhash64(F.lit(1), n + longer, F.slice(w, n - b + 1, b))]
-    return out
+    def both(a: Column) -> Column:
+        return F.array(F.xxhash64(F.lit(0), a, F.call_function("substring_index", line, F.lit(" "), a)), F.xxhash64(F.lit(1), a, F.call_function("substring_index", line, F.lit(" "), -a)))
+
+    n = n_words(line)
+    return F.when(size(n) == size(n + 1), both(size(n))).otherwise(F.concat(both(size(n)), both(size(n + 1))))
 
 
 def variants(lines: DataFrame) -> DataFrame:
@@ -80,35 +91,45 @@ def within_one(a: Column, b: Column) -> Column:
     )
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(h1, h2) of the distinct lines that have an earlier distinct line within distance 1.
+def candidate_lines(docs: DataFrame, lines: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(h1, h2, first, words) of the distinct lines that share an anchor with another distinct line."""
+    each = lines.select("h1", F.explode("anchors").alias("anchor"))
+    shared = each.groupBy("anchor").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("anchor")
+    some = each.join(shared, "anchor", "left_semi").select("h1").distinct()
+    wanted = distinct.join(some, "h1", "left_semi").select(F.col("first.id").alias("id_"), F.col("first.key").alias("key_"), F.struct(F.col("first.pos").alias("pos"), "h1", "h2").alias("line"))
+    per_doc = wanted.groupBy("id_", "key_").agg(F.collect_list("line").alias("wanted"))  # as many as a text has lines
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    found = texts.join(per_doc, F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")))
+    parts = found.select("id", "key", F.split("text", "\n").alias("all"), "wanted")
+    named = parts.select("id", "key", F.transform("wanted", lambda w: F.struct(w["h1"].alias("h1"), w["h2"].alias("h2"), w["pos"].alias("pos"), F.get(F.col("all"), w["pos"]).alias("line"))).alias("lines"))
+    each = named.select("id", "key", F.explode("lines").alias("w"))
+    return each.select("w.h1", "w.h2", F.struct("id", "key", F.col("w.pos").alias("pos")).alias("first"), F.split(normal_line(F.col("w.line")), " ").alias("words"))
+
+
+def near_lines(some: DataFrame) -> DataFrame:
+    """(h1, h2) of the lines (h1, h2, first, words) that have an earlier line within distance 1.
 
     A group of equal variants is never paired up: its earliest line stands for it, which every other line of the
     group is within distance 1 of (each differs from it in the word dropped, at one place).
     """
-    half = distinct.select("h1", "h2", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    candidates = half.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    first = distinct.join(candidates, ["h1", "h2"], "left_semi").select("h1", "h2", "first")
-    texts = lines_of(docs, id_col, text_col, min_words).withColumn("place", F.struct("id", "key", "pos"))
-    some = stored(texts.join(first, ["h1", "h2"]).where(F.col("place").eqNullSafe(F.col("first"))).dropDuplicates(["h1", "h2"]).select("h1", "h2", "first", "words"), "lines")
     every = variants(some)
     places = every.groupBy("size", "variant", "at").agg(F.min("first").alias("least"), F.count("*").alias("n"))
     whole = places.groupBy("size", "variant").agg(F.min("least").alias("of_all"), F.min(F.when(F.col("at") == 0, F.col("least"))).alias("of_whole"), F.sum("n").alias("total"))
-    whole = whole.where("total > 1")
-    group = places.join(whole, ["size", "variant"]).select("size", "variant", "at", F.when(F.col("at") == 0, F.col("of_all")).otherwise(F.least("least", "of_whole")).alias("earliest"))
+    group = places.join(whole.where("total > 1"), ["size", "variant"]).select("size", "variant", "at", F.when(F.col("at") == 0, F.col("of_all")).otherwise(F.least("least", "of_whole")).alias("earliest"))
     pairs = every.join(group, ["size", "variant", "at"]).where(F.col("earliest") < F.col("first")).select("h1", "h2", "earliest").distinct()
     words_of = some.select(F.col("first").alias("earliest"), F.col("words").alias("other"))
     verified = pairs.join(some.select("h1", "h2", "words"), ["h1", "h2"]).join(words_of, "earliest").where(within_one(F.col("words"), F.col("other")))
-    return stored(verified.select("h1", "h2").distinct(), "near")
+    return verified.select("h1", "h2").distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """Per document (id, key) with duplicates: places of lines equal to an earlier line (exact), and of near ones."""
-    lines = lines_of(docs, id_col, text_col, min_words)
-    distinct = stored(lines.withColumn("halves", F.array(*halves())).groupBy("h1", "h2").agg(F.min(F.struct("id", "key", "pos")).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves")), "distinct")
-    near = near_lines(docs, distinct, id_col, text_col, min_words).withColumn("near", F.lit(True))
-    gone = distinct.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").where("n > 1 OR near").select("h1", "h2", "first", "near")
+    lines = stored(lines_of(docs, id_col, text_col, min_words), "lines")
+    distinct = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "key", "pos")).alias("first"), F.count("*").alias("n")), "distinct")
+    some = stored(candidate_lines(docs, lines, distinct, id_col, text_col).dropDuplicates(["h1", "h2"]), "candidates")
+    near = stored(near_lines(some), "near").withColumn("near", F.lit(True))
+    gone = distinct.join(near, ["h1", "h2"], "left").where("n > 1 OR near").select("h1", "h2", "first", "near")
     places = lines.select("id", "key", "pos", "h1", "h2").join(gone, ["h1", "h2"])
     places = places.where(F.col("near") | (F.struct("id", "key", "pos") > F.col("first")))
     return places.groupBy("id", "key").agg(F.collect_set(F.when(F.col("near"), F.col("pos"))).alias("near"), F.collect_set(F.when(F.col("near").isNull(), F.col("pos"))).alias("exact"))
