@@ -51,16 +51,17 @@ def text_key(text: Column) -> Column:
 
 
 def likeness(text: Column) -> Column:
-    """One number that most near copies of a text share: of its three smallest hashes of words of eight letters or more."""
-    hashes = F.array_distinct(F.transform(F.filter(words(text), lambda w: F.length(w) >= 8), lambda w: F.xxhash64(w)))
-    return F.when(F.size(hashes) >= 3, F.xxhash64(F.slice(F.array_sort(hashes), 1, 3))).otherwise(text_key(text))
+    """What most near copies of a text share: its three least digests of words of eight letters or more, as one number."""
+    digests = F.array_distinct(F.transform(F.filter(words(text), lambda w: F.length(w) >= 8), lambda w: F.md5(w)))
+    return F.when(F.size(digests) >= 3, F.xxhash64(F.slice(F.array_sort(digests), 1, 3))).otherwise(text_key(text))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """Lines with words: id, key (of the text), host, like, place, line (hash of the normalised line), n (words)."""
     text = F.col(text_col)
-    each = docs.select(F.col(id_col).alias("id"), text_key(text).alias("key"), F.col(host_col).alias("host"), likeness(text).alias("like"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("place", "t"))
-    each = each.withColumn("t", normal_line(F.col("t"))).where("t <> ''")
+    # what is of the document comes before the lines, else it would be computed for each line
+    whole = docs.select(F.col(id_col).alias("id"), text_key(text).alias("key"), F.col(host_col).alias("host"), likeness(text).alias("like"), F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), normal_line).alias("all"))
+    each = whole.select("id", "key", "host", "like", F.posexplode_outer("all").alias("place", "t")).where("t <> ''")
     return each.select("id", "key", "host", "like", "place", F.xxhash64("t").alias("line"), (F.length("t") - F.length(F.translate("t", " ", "")) + 1).alias("n"))
 
 
