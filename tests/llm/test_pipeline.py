@@ -5,7 +5,7 @@ import corpus_pipeline
 
 def test_stages(spark, tmp_path):
     text = lambda i: "\n".join(" ".join(f"word{i}x{j}x{k}" for k in range(20)) for j in range(6))
-    near = text(1).replace("word1x3x5", "changed one")
+    near = text(1).replace("word1x3x5", "changed")
     rows = [(i, text(i), "en", "s", 0) for i in range(8)] + [(20, text(2), "en", "s", 0), (21, near, "en", "s", 0), (22, "too short", "en", "s", 0), (23, text(23) + "\npassword = hunter2hunter2", "en", "s", 0), (24, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
