@@ -13,7 +13,7 @@ variants.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import free_names, normal_line, stored
@@ -115,8 +115,10 @@ def near_lines(some: DataFrame) -> DataFrame:
     """
     every = variants(some)
     places = every.groupBy("size", "variant", "at").agg(F.min("first").alias("least"), F.count("*").alias("n"))
-    whole = places.groupBy("size", "variant").agg(F.min("least").alias("of_all"), F.min(F.when(F.col("at") == 0, F.col("least"))).alias("of_whole"), F.sum("n").alias("total"))
-    group = places.join(whole.where("total > 1"), ["size", "variant"]).select("size", "variant", "at", F.when(F.col("at") == 0, F.col("of_all")).otherwise(F.least("least", "of_whole")).alias("earliest"))
+    # rows of places in a window are at most as many as a line has words, however large the group is
+    same = Window.partitionBy("size", "variant")
+    spread = places.withColumns({"of_all": F.min("least").over(same), "of_whole": F.min(F.when(F.col("at") == 0, F.col("least"))).over(same), "total": F.sum("n").over(same)}).where("total > 1")
+    group = spread.select("size", "variant", "at", F.when(F.col("at") == 0, F.col("of_all")).otherwise(F.least("least", "of_whole")).alias("earliest"))
     pairs = every.join(group, ["size", "variant", "at"]).where(F.col("earliest") < F.col("first")).select("h1", "h2", "earliest").distinct()
     words_of = some.select(F.col("first").alias("earliest"), F.col("words").alias("other"))
     verified = pairs.join(some.select("h1", "h2", "words"), ["h1", "h2"]).join(words_of, "earliest").where(within_one(F.col("words"), F.col("other")))
