@@ -30,13 +30,14 @@ def n_words(line: Column) -> Column:
     return F.length(line) - F.length(F.translate(line, " ", "")) + 1
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """Lines of ``min_words`` words or more: id, key (of the text), pos, h1 and h2 (of the normalised line), anchors."""
+def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int, exact_min_words: int) -> DataFrame:
+    """Lines of words, ``exact_min_words`` or more: id, key (of the text), pos, h1 and h2 (of the normalised line), and
+    anchors (null under ``min_words`` words)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     # what is of the document comes before the lines, else it would be computed for each line
     whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), F.transform(F.split(text, "\n"), normal_line).alias("all"))
-    each = whole.select("id", "key", F.posexplode_outer("all").alias("pos", "line")).where(n_words(F.col("line")) >= min_words)
-    return each.select("id", "key", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), anchors(F.col("line"), min_words).alias("anchors"))
+    each = whole.select("id", "key", F.posexplode_outer("all").alias("pos", "line")).where((F.col("line") != "") & (n_words(F.col("line")) >= exact_min_words))
+    return each.select("id", "key", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.when(n_words(F.col("line")) >= min_words, anchors(F.col("line"), min_words)).alias("anchors"))
 
 
 def anchors(line: Column, min_words: int) -> Column:
@@ -125,9 +126,9 @@ def near_lines(some: DataFrame) -> DataFrame:
     return verified.select("h1", "h2").distinct()
 
 
-def removed_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, exact_min_words: int) -> DataFrame:
     """Per document (id, key) with duplicates: places of lines equal to an earlier line (exact), and of near ones."""
-    lines = stored(lines_of(docs, id_col, text_col, min_words), "lines")
+    lines = stored(lines_of(docs, id_col, text_col, min_words, exact_min_words), "lines")
     distinct = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "key", "pos")).alias("first"), F.count("*").alias("n")), "distinct")
     some = stored(candidate_lines(docs, lines, distinct, id_col, text_col).dropDuplicates(["h1", "h2"]), "candidates")
     near = stored(near_lines(some), "near").withColumn("near", F.lit(True))
@@ -137,16 +138,18 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
     return places.groupBy("id", "key").agg(F.collect_set(F.when(F.col("near"), F.col("pos"))).alias("near"), F.collect_set(F.when(F.col("near").isNull(), F.col("pos"))).alias("exact"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, counts: tuple[str, str] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, counts: tuple[str, str] | None = None, exact_min_words: int | None = None) -> DataFrame:
     """All rows and columns, with every line left out of ``text_col`` that has an earlier line within distance 1.
 
     Lines compare by lower-cased words. Earlier: in a document of smaller id (then smaller text hash), or further up.
-    Whether the earlier line itself stays doesn't matter. Lines of fewer than ``min_words`` words always stay.
+    Whether the earlier line itself stays doesn't matter. Lines of fewer than ``min_words`` words have no near ones, and
+    go only if they equal an earlier line and have ``exact_min_words`` words or more (by default ``min_words``: they all
+    stay). Lines without a word always stay.
     Repeated rows are one document, and are treated alike. A null text stays null; one that loses every line
     becomes empty. Null ids come first. ``counts`` names columns for the numbers of lines left out as (exact, near).
     """
     key, gid, gkey, exact, near = free_names(docs, "text_key", "gone_id", "gone_key", "gone_exact", "gone_near")
-    gone = removed_lines(docs, id_col, text_col, min_words).select(F.col("id").alias(gid), F.col("key").alias(gkey), F.col("exact").alias(exact), F.col("near").alias(near))
+    gone = removed_lines(docs, id_col, text_col, min_words, min_words if exact_min_words is None else min(exact_min_words, min_words)).select(F.col("id").alias(gid), F.col("key").alias(gkey), F.col("exact").alias(exact), F.col("near").alias(near))
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     out = keyed.join(gone, keyed[id_col].eqNullSafe(gone[gid]) & (keyed[key] == gone[gkey]), "left")
     places = F.concat(exact, near)

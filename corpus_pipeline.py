@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line go; so do documents without a word left."""
-    return _measured(line_dedup.dedup_lines(docs)).where(r"text RLIKE '[^\\x20\\x09-\\x0D]'")
+    """Lines that repeat an earlier line go, those of a few words if they equal it; so do documents without a word left."""
+    return _measured(line_dedup.dedup_lines(docs, exact_min_words=1)).where(r"text RLIKE '[^\\x20\\x09-\\x0D]'")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,3 +19,15 @@ def test_stages(spark, tmp_path):
     assert "hunter2" not in seen["secret scan"][23] and set(seen["secret scan"]) == {*range(8), 23}
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.collect()} == {*range(8), 23}
+
+
+def test_copies_leave_no_short_lines(spark, tmp_path):
+    """A later exact copy goes whole, its lines of a few words and its blank ones included."""
+    long = lambda i, j: " ".join(f"word{i}x{j}x{k}" for k in range(20))
+    text = lambda i: "\n".join(f"{long(i, j)}\n\nheading {i} {j}" for j in range(4))
+    rows = [(i, text(i), "en", "s", 0) for i in range(4)] + [(10, text(2), "en", "s", 0), (11, text(3), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup_stage(spark, docs, "").collect()}
+    assert left == {i: text(i) for i in range(4)}
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(4))
