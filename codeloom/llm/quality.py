@@ -65,36 +65,34 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     return each.select("id", "key", "host", "like", "place", F.xxhash64("t").alias("line"), (F.length("t") - F.length(F.translate("t", " ", "")) + 1).alias("n"))
 
 
-def frequent_lines(lines: DataFrame, min_docs: int, min_spread: float) -> DataFrame:
+def frequent_lines(lines: DataFrame, min_docs: int) -> DataFrame:
     """(host, line) of lines in ``min_docs`` documents of a host or more.
 
     Documents count once per text and once per likeness: exact copies, and most near copies, of one document are one.
-    A line whose texts are mostly near copies of few (likenesses under ``min_spread`` of the texts) stays, as it
-    is a document's own. Counts are summed before each shuffle, so a line that every document has is no hot key.
+    However many copies hold a line besides, it is frequent. Counts are summed before each shuffle, so a line that every document has is no hot key.
     """
-    texts = lines.groupBy("host", "line", "like", "key").agg(F.lit(1).alias("one"))
-    likes = texts.groupBy("host", "line", "like").agg(F.count("*").alias("texts"))
-    counts = likes.groupBy("host", "line").agg(F.count("*").alias("docs"), F.sum("texts").alias("texts"))
-    return counts.where((F.col("docs") >= min_docs) & (F.col("docs") >= min_spread * F.col("texts"))).select("host", "line")
+    likes = lines.groupBy("host", "line", "like").agg(F.lit(1).alias("one"))
+    counts = likes.groupBy("host", "line").agg(F.count("*").alias("docs"))
+    return counts.where(F.col("docs") >= min_docs).select("host", "line")
 
 
-def removals(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int, min_spread: float) -> DataFrame:
+def removals(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int) -> DataFrame:
     """Per document (id, key) with lines to remove: the lines' hashes, and the words in them (once for repeated rows)."""
     lines = lines_of(docs, id_col, text_col, host_col)
-    frequent = frequent_lines(lines, min_docs, min_spread).select(F.col("host").alias("at"), F.col("line").alias("often"))
+    frequent = frequent_lines(lines, min_docs).select(F.col("host").alias("at"), F.col("line").alias("often"))
     marked = lines.join(frequent, F.col("host").eqNullSafe(F.col("at")) & (F.col("line") == F.col("often")), "inner")
     # a repeated row gives each of its places again; a line's place in its text tells them apart from repeated lines
     once = marked.groupBy("id", "key", "place").agg(F.first("line").alias("line"), F.first("n").alias("n"))
     return once.groupBy("id", "key").agg(F.collect_set("line").alias("lines"), F.sum("n").alias("removed"))
 
 
-def _with_removals(docs: DataFrame, left: DataFrame, id_col: str, key: str, text_col: str, host_col: str, min_docs: int, min_spread: float, extra: list[str]) -> DataFrame:
-    gone = removals(docs, id_col, text_col, host_col, min_docs, min_spread)
+def _with_removals(docs: DataFrame, left: DataFrame, id_col: str, key: str, text_col: str, host_col: str, min_docs: int, extra: list[str]) -> DataFrame:
+    gone = removals(docs, id_col, text_col, host_col, min_docs)
     gone = gone.select(F.col("id").alias(extra[0]), F.col("key").alias(extra[1]), F.col("lines").alias(extra[2]), F.col("removed").alias(extra[3]))
     return left.join(gone, left[id_col].eqNullSafe(gone[extra[0]]) & (left[key] == gone[extra[1]]), "left")
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 10, min_spread: float = 0.5, max_removed: float = 0.5) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 10, max_removed: float = 0.5) -> DataFrame:
     """Verdicts: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words.
 
     base_failed: under 50 words, or more than half of the words in repeated three-word windows. Lines frequent on
@@ -104,17 +102,17 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     """
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"), text_key(F.col(text_col)).alias("_key"))
     base = base_features(rows, [id_col, "_key"], "_text")
-    out = _with_removals(docs, base, id_col, "_key", text_col, host_col, min_docs, min_spread, ["_id", "_k", "_lines", "_removed"])
+    out = _with_removals(docs, base, id_col, "_key", text_col, host_col, min_docs, ["_id", "_k", "_lines", "_removed"])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     removed = F.coalesce(F.col("_removed"), F.lit(0)).cast("long")
     return out.select(id_col, *(x.split()[0] for x in FEATURES.split(", ")), failed.alias("base_failed"), (~failed & (removed <= max_removed * F.col("n_words"))).alias("kept"), removed.alias("n_removed_words"))
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 10, min_spread: float = 0.5, max_removed: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 10, max_removed: float = 0.5) -> DataFrame:
     """The documents that ``quality`` keeps, without their frequent lines. All columns stay; only ``text_col`` changes."""
     key, *names = free_names(docs, "text_key", "gone_id", "gone_key", "gone_lines", "gone_words")
     keyed = docs.withColumn(key, text_key(F.col(text_col)))
-    out = _with_removals(docs, keyed, id_col, key, text_col, host_col, min_docs, min_spread, names)
+    out = _with_removals(docs, keyed, id_col, key, text_col, host_col, min_docs, names)
     failed = free_names(out, "failed", "total")
     judged = map_all(out, text_col, failed)
     lines, removed, total = F.col(names[2]), F.coalesce(F.col(names[3]), F.lit(0)), F.col(failed[1])
