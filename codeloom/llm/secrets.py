@@ -130,18 +130,40 @@ class Automaton:
         return out
 
 
+#: Ordinary writing by groups of symbols, as it is put together of words, names and numbers: chances of the next group
+#: ("": the start or the end). Nothing is learned from a corpus here, as its unlabelled secrets would be learned with it.
+WRITING = {
+    "": {"lower": 0.6, "upper": 0.25, "digit": 0.1, "mark": 0.05},
+    "lower": {"lower": 0.9, "upper": 0.02, "digit": 0.02, "mark": 0.03, "": 0.03},
+    "upper": {"lower": 0.35, "upper": 0.55, "digit": 0.02, "mark": 0.05, "": 0.03},
+    "digit": {"lower": 0.02, "upper": 0.02, "digit": 0.8, "mark": 0.1, "": 0.06},
+    "mark": {"lower": 0.5, "upper": 0.2, "digit": 0.2, "mark": 0.07, "": 0.03},
+}
+#: Group of a symbol, and the symbol's share of it; any other is one of six marks.
+GROUPS = {"a": ("lower", 6 / 26), "z": ("lower", 20 / 26), "A": ("upper", 6 / 26), "Z": ("upper", 20 / 26), "0": ("digit", 1.0), END: ("", 1.0)}
+
+
+def ordinary_log_likelihood(s: str) -> float:
+    """Of the string's symbols in ordinary writing, natural logarithm."""
+    at, out = "", 0.0
+    for c in [*map(symbol, s), END]:
+        group, share = GROUPS.get(c, ("mark", 1 / 6))
+        out += math.log(WRITING[at].get(group, 1e-4) * share)
+        at = group
+    return out
+
+
 @dataclass
 class Formats:
-    """Automata of credentials by kind, one of ordinary long words, and the least advantage of a secret over these."""
+    """Automata of credentials by kind, and the least advantage of a secret over ordinary writing."""
 
     secrets: dict[str, Automaton]
-    ordinary: Automaton
     least: float
 
     def score(self, s: str) -> float:
-        """Advantage of the likeliest credential format over ordinary words, in nats a character."""
+        """Advantage of the likeliest credential format over ordinary writing, in nats a character."""
         mixed = [a.log_likelihood(s) for a in self.secrets.values()]
-        return (max(mixed) - self.ordinary.log_likelihood(s)) / (len(s) + 1) if mixed else -math.inf
+        return (max(mixed) - ordinary_log_likelihood(s)) / (len(s) + 1) if mixed else -math.inf
 
 
 def scan(text: str, formats: Formats | None) -> list[tuple[str, int, int, int]]:
@@ -155,14 +177,12 @@ def scan(text: str, formats: Formats | None) -> list[tuple[str, int, int, int]]:
 
 
 def labelled(docs: DataFrame, text_col: str) -> DataFrame:
-    """Distinct (kind, value): base secrets by their kind, and candidates that no base pattern labels as "ordinary"."""
+    """Distinct (kind, value) of the base secrets."""
 
     def run(rows: dict[str, list]) -> dict[str, list]:
         found = set()
         for text in filter(None, rows[text_col]):
-            base = base_spans(text)
-            found |= {(k, text[v:e]) for k, _, e, v in base}
-            found |= {("ordinary", m[0]) for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for _, s, e, _ in base)}
+            found |= {(k, text[v:e]) for k, _, e, v in base_spans(text)}
         return {"kind": [k for k, _ in found], "value": [v for _, v in found]}
 
     return map_batches(docs, [text_col], run, "kind string, value string").distinct()
@@ -176,11 +196,11 @@ def learn_formats(docs: DataFrame, text_col: str = "text", sample: int = 400, at
     """
     values = labelled(docs, text_col).where(F.length("value") <= 200)
     found: dict[str, list[str]] = {}
-    for kind in (*KINDS[:3], "ordinary"):
+    for kind in KINDS[:3]:
         rows = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
         found[kind] = [r["value"] for r in rows]
-    known = {k: Automaton(v) for k, v in found.items() if k != "ordinary" and len(v) >= at_least}
-    return Formats(known, Automaton(found["ordinary"]), least) if known else None
+    known = {k: Automaton(v) for k, v in found.items() if len(v) >= at_least}
+    return Formats(known, least) if known else None
 
 
 def _written(spans: list[tuple[str, int, int, int]]) -> str:

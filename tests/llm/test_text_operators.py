@@ -145,6 +145,18 @@ def test_learned_formats(spark):
     assert [r["text"] for r in masked] == ["token = <secret>", None] and masked[0]["spans"] == "x"
 
 
+def test_unlabelled_secrets_are_no_negatives(spark):
+    """However many unlabelled secrets stand in the corpus, each is found; long words and names are not."""
+    rng = np.random.default_rng(8)
+    of = lambda chars, n: "".join(rng.choice(list(chars), n))
+    hidden = [of("0123456789abcdef", 28) for _ in range(300)]
+    plain = ["configuration_manager_2024", "path/to/some/long/file/name2", "getUserNameFromDatabase2", "2024-01-11T10-30-00-report", "123456789012345678901234"]
+    rows = [(i, f"see {of('0123456789abcdef', 40)} here") for i in range(60)] + [(100 + i, f"see {x} here") for i, x in enumerate(hidden)] + [(1000 + i, f"see {x} here") for i, x in enumerate(plain)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["n_format"] for r in secrets.find_secrets(docs, secrets.learn_formats(docs)).collect()}
+    assert sum(found[100 + i] for i in range(300)) >= 290 and not any(found[1000 + i] for i in range(len(plain)))
+
+
 def test_pseudonyms(spark):
     text = "Mail ann.lee7@mail.example.com or +1 (017) 555-7713; card 4111-1111-1111-1111, host 169.122.221.182. Born 1987-02-28, 3.7.1999; 31.06.2001 v1.2 \x01\x02b 12345"
     docs = spark.createDataFrame([(1, text), (2, "again 169.122.221.182!"), (3, None), (4, "")], "doc_id long, text string")
