@@ -232,9 +232,10 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, depth: int = 3) -> DataFrame:
-    """id, key, class_id, n_links of every row: documents linked at Jaccard ``threshold`` or more, directly or not.
+    """id, key, component, class_id, n_links of every row: documents linked at Jaccard ``threshold`` or more, directly or not.
 
-    class_id is the smallest id of the class, n_links the number of other documents at the threshold or more, copies
+    component tells classes apart (null: no words); class_id is the smallest id of the class, which several classes have
+    if documents share an id or have none. n_links the number of other documents at the threshold or more, copies
     included. Words are compared as they stand. A document of fewer than ``n`` words is one shingle of all its words;
     one without words (or null) has no links and is a class of its own. Repeated rows are copies of each other. Buckets that are still large
     at ``depth`` are searched block by block, so none is cut. Exact on what met: links are verified on whole sets.
@@ -265,17 +266,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     named = components(found.select(F.col("node").alias("u"), F.col("least").alias("v")))
     of_node = stored(nodes.select("node", "copies", F.col("first.id").alias("id")).join(links, "node", "left").join(named, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
     least = of_node.groupBy("component").agg(F.min("id").alias("class_id"))
-    named = of_node.join(least, "component").select(F.col("node").alias("of"), "class_id", "n_links")
-    return rows.join(named, F.col("node") == F.col("of"), "left").select("id", "key", F.when(F.col("of").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = of_node.join(least, "component").select(F.col("node").alias("of"), "component", "class_id", "n_links")
+    return rows.join(named, F.col("node") == F.col("of"), "left").select("id", "key", "component", F.when(F.col("of").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each class of ``classes``: that of its smallest id (then smallest text hash). All columns stay.
 
-    Repeated rows are one; documents without words are classes of their own.
+    Repeated rows are one; documents without words are classes of their own. Ids may be null or shared: classes are
+    told apart by their component.
     """
     of = classes(docs, id_col, text_col, **options)
-    kept = of.groupBy("class_id").agg(F.min(F.struct("id", "key")).alias("k")).select("k.id", "k.key")
+    alone = F.col("component").isNull()
+    kept = of.groupBy("component", F.when(alone, F.col("id")).alias("i"), F.when(alone, F.col("key")).alias("t")).agg(F.min(F.struct("id", "key")).alias("k")).select("k.id", "k.key")
     key, kid, kkey = free_names(docs, "text_key", "kept_id", "kept_key")
     keyed, kept = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))), kept.toDF(kid, kkey)
     return keyed.join(kept, keyed[id_col].eqNullSafe(kept[kid]) & (keyed[key] == kept[kkey])).dropDuplicates([kid, kkey]).select(*docs.columns)

@@ -118,6 +118,15 @@ def test_near_duplicates_edges(spark):
     assert near_dup.runs_for(0.999, 0.8, 1) < near_dup.runs_for(0.999, 0.8, 3)
 
 
+def test_near_duplicates_without_ids(spark):
+    """Different texts under no id or one id stay; copies of a text are one."""
+    texts = [" ".join(f"t{i}w{k}" for k in range(30)) for i in range(6)]
+    rows = [(None, t) for t in texts[:3]] + [(None, texts[0]), (7, texts[3]), (7, texts[4]), (8, texts[4]), (None, texts[5]), (9, texts[5]), (None, None), (10, "")]
+    kept = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, t) for t in texts[:3]] + [(7, texts[3]), (7, texts[4]), (None, texts[5]), (None, None), (10, "")]
+    assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("clustered", [False, True])
 def test_top_k_is_brute_force(spark, clustered):
     rng = np.random.default_rng(2)
