@@ -231,7 +231,7 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
     return members.groupBy("task").applyInPandas(search, "node binary, links long, least binary")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, depth: int = 3) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, depth: int = 3, only: DataFrame | None = None) -> DataFrame:
     """id, key, component, class_id, n_links of every row: documents linked at Jaccard ``threshold`` or more, directly or not.
 
     component tells classes apart (null: no words); class_id is the smallest id of the class, which several classes have
@@ -239,8 +239,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     included. Words are compared as they stand. A document of fewer than ``n`` words is one shingle of all its words;
     one without words (or null) has no links and is a class of its own. Repeated rows are copies of each other. Buckets that are still large
     at ``depth`` are searched block by block, so none is cut. Exact on what met: links are verified on whole sets.
+    ``only`` (key) leaves out documents of other texts.
     """
-    rows = stored(sketches(docs, id_col, text_col, n), "sketches")
+    rows = sketches(docs, id_col, text_col, n)
+    rows = stored(rows if only is None else rows.join(only.select("key"), "key", "left_semi").select("id", "key", "node", "sketch"), "sketches")
     nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "key")).alias("first"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "nodes")
     level, meeting = stored(children(nodes, threshold, runs_for(recall, threshold, depth)), "paths"), []
     for at in range(depth):

@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import WORD_RE, free_names, map_batches, normal_line, words
+from codeloom.llm import near_dup
+from codeloom.llm.common import WORD_RE, free_names, map_batches, normal_line, stored
 
 MARKS = "#*$%&|<>"
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -50,37 +51,45 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def likeness(text: Column) -> Column:
-    """What most near copies of a text share: its three least digests of words of eight letters or more, as one number."""
-    digests = F.array_distinct(F.transform(F.filter(words(text), lambda w: F.length(w) >= 8), lambda w: F.md5(w)))
-    return F.when(F.size(digests) >= 3, F.xxhash64(F.slice(F.array_sort(digests), 1, 3))).otherwise(text_key(text))
-
-
 def lines_of(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """Lines with words: id, key (of the text), host, like, place, line (hash of the normalised line), n (words)."""
+    """Lines with words: id, key (of the text), host, place, line (hash of the normalised line), n (words)."""
     text = F.col(text_col)
     # what is of the document comes before the lines, else it would be computed for each line
-    whole = docs.select(F.col(id_col).alias("id"), text_key(text).alias("key"), F.col(host_col).alias("host"), likeness(text).alias("like"), F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), normal_line).alias("all"))
-    each = whole.select("id", "key", "host", "like", F.posexplode_outer("all").alias("place", "t")).where("t <> ''")
-    return each.select("id", "key", "host", "like", "place", F.xxhash64("t").alias("line"), (F.length("t") - F.length(F.translate("t", " ", "")) + 1).alias("n"))
+    whole = docs.select(F.col(id_col).alias("id"), text_key(text).alias("key"), F.col(host_col).alias("host"), F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), normal_line).alias("all"))
+    each = whole.select("id", "key", "host", F.posexplode_outer("all").alias("place", "t")).where("t <> ''")
+    return each.select("id", "key", "host", "place", F.xxhash64("t").alias("line"), (F.length("t") - F.length(F.translate("t", " ", "")) + 1).alias("n"))
+
+
+def common_lines(lines: DataFrame, min_docs: int) -> DataFrame:
+    """(host, line) of lines in ``min_docs`` distinct texts of a host or more. Counts are summed before each shuffle, so
+    a line that every document has is no hot key."""
+    texts = lines.groupBy("host", "line", "key").agg(F.lit(1).alias("one"))
+    return texts.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("host", "line")
+
+
+def at_lines(lines: DataFrame, some: DataFrame) -> DataFrame:
+    """The rows of ``lines`` whose (host, line) is in ``some``."""
+    some = some.select(F.col("host").alias("at"), F.col("line").alias("often"))
+    return lines.join(some, F.col("host").eqNullSafe(F.col("at")) & (F.col("line") == F.col("often"))).drop("at", "often")
 
 
-def frequent_lines(lines: DataFrame, min_docs: int) -> DataFrame:
+def frequent_lines(docs: DataFrame, common: DataFrame, id_col: str, text_col: str, min_docs: int) -> DataFrame:
     """(host, line) of lines in ``min_docs`` documents of a host or more.
 
-    Documents count once per text and once per likeness: exact copies, and most near copies, of one document are one.
-    However many copies hold a line besides, it is frequent. Counts are summed before each shuffle, so a line that every document has is no hot key.
+    Exact copies and near copies (classes of verified near duplicates, among the documents with common lines) count
+    once. However many of them hold a line besides, it is frequent. ``common``: the rows of lines in so many texts.
     """
-    likes = lines.groupBy("host", "line", "like").agg(F.lit(1).alias("one"))
-    counts = likes.groupBy("host", "line").agg(F.count("*").alias("docs"))
-    return counts.where(F.col("docs") >= min_docs).select("host", "line")
+    held = stored(common.select("host", "line", "key").distinct(), "held")
+    of = near_dup.classes(docs, id_col, text_col, only=held.select("key").distinct()).select("key", "component").distinct()
+    each = held.join(of, "key").groupBy("host", "line", "component").agg(F.lit(1).alias("one"))
+    return each.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("host", "line")
 
 
 def removals(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int) -> DataFrame:
     """Per document (id, key) with lines to remove: the lines' hashes, and the words in them (once for repeated rows)."""
     lines = lines_of(docs, id_col, text_col, host_col)
-    frequent = frequent_lines(lines, min_docs).select(F.col("host").alias("at"), F.col("line").alias("often"))
-    marked = lines.join(frequent, F.col("host").eqNullSafe(F.col("at")) & (F.col("line") == F.col("often")), "inner")
+    common = stored(at_lines(lines, common_lines(lines, min_docs)), "common")
+    marked = at_lines(common, frequent_lines(docs, common, id_col, text_col, min_docs))
     # a repeated row gives each of its places again; a line's place in its text tells them apart from repeated lines
     once = marked.groupBy("id", "key", "place").agg(F.first("line").alias("line"), F.first("n").alias("n"))
     return once.groupBy("id", "key").agg(F.collect_set("line").alias("lines"), F.sum("n").alias("removed"))
