@@ -33,15 +33,36 @@ def shared_folder(spark) -> str:
     return folder
 
 
+def scratch(spark) -> str:
+    """Where this application keeps what its operators store."""
+    return f"{shared_folder(spark)}/codeloom-{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder, and read from there: later uses don't compute it again,
-    and a lost executor loses none of it."""
+    and a lost executor loses none of it. ``clear_scratch`` removes what an application has stored."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/codeloom-{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark) -> None:
+    """Remove all that this application has stored; results that have not been written yet are lost with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/codeloom-" in file:
+                path = spark._jvm.org.apache.hadoop.fs.Path(file)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """On the driver: what tasks make their batches by."""
     return to_arrow_schema(StructType.fromDDL(ddl))
@@ -80,3 +101,19 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def without_lines(text: Column, places: Column) -> Column:
+    """``text`` without its lines at ``places`` (distinct, from 0). What stands between two places is taken in one
+    piece, so the work grows with the number of lines."""
+
+    def rest(x: Column) -> Column:
+        ends = F.concat(F.array(F.lit(-1)), x["places"], F.array(F.size(x["lines"])))
+        return bind(ends, lambda e: F.array_join(F.flatten(F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda i: F.slice(x["lines"], F.get(e, i - 1) + 2, F.get(e, i) - F.get(e, i - 1) - 1))), "\n"))
+
+    return bind(F.struct(F.split(text, "\n").alias("lines"), F.array_sort(places).alias("places")), rest)
