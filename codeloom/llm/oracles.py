@@ -15,9 +15,9 @@ rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(3) AS r(j) G
 base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
   length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
   FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
-alike AS (SELECT doc_id, source, text, list_sort(list_distinct(list_transform(list_filter(w, lambda x: length(x) >= 8), lambda x: md5(x)))) AS h FROM d),
-lines AS (SELECT doc_id, source, text, CASE WHEN len(h) >= 3 THEN array_to_string(h[1:3], '') ELSE 'text ' || coalesce(text, '') END AS likeness, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {LINE.format("x")})) AS line FROM alike),
-often AS (SELECT source, line FROM lines WHERE line <> '' GROUP BY 1, 2 HAVING count(DISTINCT likeness) >= 10 AND count(DISTINCT likeness) >= 0.5 * count(DISTINCT (likeness, text))),
+hosts AS (SELECT source, greatest(10, ceil(count(DISTINCT coalesce(text, '')) * 0.05)) AS least FROM documents GROUP BY 1),
+lines AS (SELECT doc_id, source, text, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {LINE.format("x")})) AS line FROM documents),
+often AS (SELECT source, line FROM (SELECT source, line, count(DISTINCT text) AS n FROM lines WHERE line <> '' GROUP BY 1, 2) c JOIN hosts h USING (source) WHERE n >= least),
 gone AS (SELECT doc_id, sum(len(string_split(lines.line, ' '))) AS n FROM lines JOIN often ON often.line = lines.line AND often.source IS NOT DISTINCT FROM lines.source GROUP BY 1)
 SELECT base.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(gone.n, 0) <= 0.5 * n_words AS kept,
   CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_words FROM base LEFT JOIN gone USING (doc_id)"""
@@ -25,13 +25,14 @@ SELECT base.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_faile
 LINE_DEDUP = f"""
 WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
 lines AS (SELECT *, {LINE.format("line")} AS norm FROM raw),
-long AS (SELECT norm, min((doc_id, pos)) AS first, string_split(norm, ' ') AS w FROM lines WHERE len(string_split(norm, ' ')) >= 8 GROUP BY 1),
+each AS (SELECT norm, min((doc_id, pos)) AS first, string_split(norm, ' ') AS w FROM lines WHERE norm <> '' GROUP BY 1),
+long AS (SELECT * FROM each WHERE len(w) >= 8),
 cut AS (SELECT norm, first, len(w) AS n, i, array_to_string(w[:i - 1] || w[i + 1:], ' ') AS rest FROM long, unnest(range(1, len(w) + 1)) AS r(i)),
 swapped AS (SELECT norm FROM (SELECT norm, first, min(first) OVER (PARTITION BY n, i, rest) AS least FROM cut) WHERE least < first),
 dropped AS (SELECT CASE WHEN cut.first < long.first THEN long.norm ELSE cut.norm END AS norm FROM cut JOIN long ON long.norm = cut.rest),
 near AS (SELECT norm FROM swapped UNION SELECT norm FROM dropped),
-verdict AS (SELECT lines.*, near.norm IS NOT NULL AS near, near.norm IS NULL AND long.norm IS NOT NULL AND (doc_id, pos) > first AS exact
-  FROM lines LEFT JOIN long ON long.norm = lines.norm LEFT JOIN near ON near.norm = lines.norm)
+verdict AS (SELECT lines.*, near.norm IS NOT NULL AS near, near.norm IS NULL AND each.norm IS NOT NULL AND (doc_id, pos) > first AS exact
+  FROM lines LEFT JOIN each ON each.norm = lines.norm LEFT JOIN near ON near.norm = lines.norm)
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT near AND NOT exact), '') AS text, count_if(exact) AS n_exact, count_if(near) AS n_near FROM verdict GROUP BY 1"""
 
 TOP_K = """
