@@ -1,14 +1,13 @@
 """Operator 2: line deduplication, near duplicates included, by a deletion-neighbourhood join. DataFrame functions only.
 
-Edit distance counts words: one word put in, left out or replaced. The deletion neighbourhood of a line is the line
-and the line without each one of its words. Two lines within distance 1 have the same words left once each drops the
-word at the place where they differ, or once the longer drops its extra word. So equal variants are joined:
-(replacement) both without the word at the same place; (insertion) one whole, the other without a word.
-
-A variant's key comes from the sum and the exclusive or of hashes of neighbouring words, so that each follows from
-the line's by three terms. Only
-lines that share their first or last words with another distinct line can be within distance 1, so only these emit
-variants.
+Edit distance counts words: put in, left out or replaced. A variant of a line leaves out some words and blanks some
+others, as many together as the edit bound at most. Two lines that blank h words each and leave out d and e words are
+within distance h + d + e if what is left is equal; and lines within the bound have such equal variants. So equal
+variants are joined, and a line goes if a variant's group has an earlier line whose deletions the bound still allows.
+
+At bound 1 a variant's key comes from the sum and the exclusive or of hashes of neighbouring words, so that each
+follows from the line's by three terms. Only lines that share their first or last words with another distinct line can
+be within distance 1, so only these emit variants.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import free_names, normal_line, stored
+from codeloom.llm.common import free_names, normal_line, stored, without_lines
 
 
 def pair_hashes(words: Column) -> Column:
@@ -92,11 +91,16 @@ def within_one(a: Column, b: Column) -> Column:
     )
 
 
-def candidate_lines(docs: DataFrame, lines: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h1, h2, first, words) of the distinct lines that share an anchor with another distinct line."""
-    each = lines.select("h1", F.explode("anchors").alias("anchor"))
-    shared = each.groupBy("anchor").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("anchor")
-    some = each.join(shared, "anchor", "left_semi").select("h1").distinct()
+def candidate_lines(docs: DataFrame, lines: DataFrame, distinct: DataFrame, id_col: str, text_col: str, bound: int) -> DataFrame:
+    """(h1, h2, first, words) of the distinct lines that may have a near one: at bound 1 those that share an anchor
+    with another distinct line, beyond it all of ``min_words`` words."""
+    if bound == 1:
+        each = distinct.select("h1", F.explode("anchors").alias("anchor"))
+        # stored, so that both sides of the join have their own exchange and the rows of a common anchor are split
+        shared = stored(each.groupBy("anchor").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("anchor"), "shared")
+        some = each.join(shared, "anchor", "left_semi").select("h1").distinct()
+    else:
+        some = distinct.where("anchors IS NOT NULL").select("h1").distinct()
     wanted = distinct.join(some, "h1", "left_semi").select(F.col("first.id").alias("id_"), F.col("first.key").alias("key_"), F.struct(F.col("first.pos").alias("pos"), "h1", "h2").alias("line"))
     per_doc = wanted.groupBy("id_", "key_").agg(F.collect_list("line").alias("wanted"))  # as many as a text has lines
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -119,41 +123,71 @@ def near_lines(some: DataFrame) -> DataFrame:
     # rows of places in a window are at most as many as a line has words, however large the group is
     same = Window.partitionBy("size", "variant")
     spread = places.withColumns({"of_all": F.min("least").over(same), "of_whole": F.min(F.when(F.col("at") == 0, F.col("least"))).over(same), "total": F.sum("n").over(same)}).where("total > 1")
-    group = spread.select("size", "variant", "at", F.when(F.col("at") == 0, F.col("of_all")).otherwise(F.least("least", "of_whole")).alias("earliest"))
+    group = stored(spread.select("size", "variant", "at", F.when(F.col("at") == 0, F.col("of_all")).otherwise(F.least("least", "of_whole")).alias("earliest")), "groups")
     pairs = every.join(group, ["size", "variant", "at"]).where(F.col("earliest") < F.col("first")).select("h1", "h2", "earliest").distinct()
     words_of = some.select(F.col("first").alias("earliest"), F.col("words").alias("other"))
+    # only lines are hot here that stand for a large group: the rows of one are split, as both sides have an exchange
     verified = pairs.join(some.select("h1", "h2", "words"), ["h1", "h2"]).join(words_of, "earliest").where(within_one(F.col("words"), F.col("other")))
     return verified.select("h1", "h2").distinct()
 
 
-def removed_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, exact_min_words: int) -> DataFrame:
+def near_lines_beyond(some: DataFrame, bound: int) -> DataFrame:
+    """As ``near_lines`` for any edit bound. A line of n words has about (2 n) ** bound / bound! variants.
+
+    Words are gone through from left to right, and each edit blanks one or leaves it out. Members of a group that left
+    out d words are within the bound of those that left out up to bound - blanks - d.
+    """
+    blank = F.lit("\x00")
+    w, at = F.col("words"), F.col("at")
+    step = some.select("h1", "h2", "first", "words", F.lit(0).alias("at"), F.lit(0).alias("blanks"), F.lit(0).alias("cuts"))
+    every = step
+    for _ in range(bound):
+        spots = step.where(at < F.size(w)).select("h1", "h2", "first", "words", "blanks", "cuts", F.explode(F.sequence(at + 1, F.size(w))).alias("i"))
+        i, before, behind = F.col("i"), F.slice(w, F.lit(1), F.col("i") - 1), F.slice(w, F.col("i") + 1, F.size(w))
+        blanked = spots.select("h1", "h2", "first", F.concat(before, F.array(blank), behind).alias("words"), i.alias("at"), (F.col("blanks") + 1).alias("blanks"), "cuts")
+        step = blanked.unionByName(spots.select("h1", "h2", "first", F.concat(before, behind).alias("words"), (i - 1).alias("at"), "blanks", (F.col("cuts") + 1).alias("cuts")))
+        every = every.unionByName(step)
+    keyed = every.select("h1", "h2", "first", F.size(w).alias("size"), F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), "blanks", "cuts")
+    group = ["size", "k1", "k2", "blanks"]
+    least = keyed.groupBy(*group, "cuts").agg(F.min("first").alias("least"))
+    reach = least.select(*group, F.explode(F.sequence(F.lit(0), bound - F.col("blanks") - F.col("cuts"))).alias("cuts"), "least").groupBy(*group, "cuts").agg(F.min("least").alias("earliest"))
+    # what remains is equal by 128 bits of hash, and the edits that lead to it are counted: that is the verification
+    near = keyed.join(stored(reach, "reach"), [*group, "cuts"]).where(F.col("earliest") < F.col("first"))
+    return near.select("h1", "h2").distinct()
+
+
+def removed_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, exact_min_words: int, bound: int) -> DataFrame:
     """Per document (id, key) with duplicates: places of lines equal to an earlier line (exact), and of near ones."""
     lines = stored(lines_of(docs, id_col, text_col, min_words, exact_min_words), "lines")
-    distinct = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "key", "pos")).alias("first"), F.count("*").alias("n")), "distinct")
-    some = stored(candidate_lines(docs, lines, distinct, id_col, text_col).dropDuplicates(["h1", "h2"]), "candidates")
-    near = stored(near_lines(some), "near").withColumn("near", F.lit(True))
-    gone = distinct.join(near, ["h1", "h2"], "left").where("n > 1 OR near").select("h1", "h2", "first", "near")
-    places = lines.select("id", "key", "pos", "h1", "h2").join(gone, ["h1", "h2"])
+    distinct = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "key", "pos")).alias("first"), F.count("*").alias("n"), F.first("anchors").alias("anchors")), "distinct")
+    gone = distinct.where("n > 1").select("h1", "h2", "first", F.lit(None).cast("boolean").alias("near"))
+    if bound:
+        some = stored(candidate_lines(docs, lines, distinct, id_col, text_col, bound).dropDuplicates(["h1", "h2"]), "candidates")
+        near = (near_lines(some) if bound == 1 else near_lines_beyond(some, bound)).withColumn("near", F.lit(True))
+        gone = distinct.join(near, ["h1", "h2"], "left").where("n > 1 OR near").select("h1", "h2", "first", "near")
+    places = lines.select("id", "key", "pos", "h1", "h2").join(stored(gone, "gone"), ["h1", "h2"])
     places = places.where(F.col("near") | (F.struct("id", "key", "pos") > F.col("first")))
     return places.groupBy("id", "key").agg(F.collect_set(F.when(F.col("near"), F.col("pos"))).alias("near"), F.collect_set(F.when(F.col("near").isNull(), F.col("pos"))).alias("exact"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, counts: tuple[str, str] | None = None, exact_min_words: int | None = None) -> DataFrame:
-    """All rows and columns, with every line left out of ``text_col`` that has an earlier line within distance 1.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, counts: tuple[str, str] | None = None, exact_min_words: int = 1, bound: int = 1) -> DataFrame:
+    """All rows and columns, with every line left out of ``text_col`` that has an earlier line within ``bound`` edits.
 
-    Lines compare by lower-cased words. Earlier: in a document of smaller id (then smaller text hash), or further up.
-    Whether the earlier line itself stays doesn't matter. Lines of fewer than ``min_words`` words have no near ones, and
-    go only if they equal an earlier line and have ``exact_min_words`` words or more (by default ``min_words``: they all
-    stay). Lines without a word always stay.
+    Lines compare by lower-cased words; an edit puts in, leaves out or replaces a word. Earlier: in a document of
+    smaller id (then smaller text hash), or further up. Whether the earlier line itself stays doesn't matter. Lines of
+    fewer than ``min_words`` words have no near ones (one edit of a few words is another line), but go if they equal an
+    earlier line and have ``exact_min_words`` words or more. Lines without a word always stay. Bound 0 removes equal
+    lines only; the cost of a bound over 1 is in ``near_lines_beyond``.
     Repeated rows are one document, and are treated alike. A null text stays null; one that loses every line
-    becomes empty. Null ids come first. ``counts`` names columns for the numbers of lines left out as (exact, near).
+    becomes empty. Null ids come first. An empty table gives none. ``counts`` names columns for the numbers of lines
+    left out as (exact, near); columns of those names that the table has are replaced.
     """
     key, gid, gkey, exact, near = free_names(docs, "text_key", "gone_id", "gone_key", "gone_exact", "gone_near")
-    gone = removed_lines(docs, id_col, text_col, min_words, min_words if exact_min_words is None else min(exact_min_words, min_words)).select(F.col("id").alias(gid), F.col("key").alias(gkey), F.col("exact").alias(exact), F.col("near").alias(near))
+    gone = removed_lines(docs, id_col, text_col, min_words, min(exact_min_words, min_words), bound).select(F.col("id").alias(gid), F.col("key").alias(gkey), F.col("exact").alias(exact), F.col("near").alias(near))
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     out = keyed.join(gone, keyed[id_col].eqNullSafe(gone[gid]) & (keyed[key] == gone[gkey]), "left")
-    places = F.concat(exact, near)
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(places, i)), "\n")
+    left = without_lines(F.col(text_col), F.concat(exact, near))
     out = out.withColumn(text_col, F.when(F.col(exact).isNull(), F.col(text_col)).otherwise(left))
     number = [F.coalesce(F.size(c), F.lit(0)).cast("long") for c in (exact, near)]
-    return out.select(*docs.columns, *(n.alias(c) for n, c in zip(number, counts or (), strict=False)))
+    clash = {c.lower() for c in counts or ()}
+    return out.select(*(c for c in docs.columns if c.lower() not in clash), *(n.alias(c) for n, c in zip(number, counts or (), strict=False)))
