@@ -20,43 +20,51 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).isEmpty()
 
 
-def edit_one(a, b):
-    """Distance of two word lists is at most one."""
-    if abs(len(a) - len(b)) > 1:
-        return False
-    i = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
+def edits(a, b):
+    """Edit distance of two word lists."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
 
 
-def brute_lines(docs, least=8):
+def brute_lines(docs, least=8, bound=1):
     lines, first = [], {}
     for i, text in sorted(docs.items()):
         for k, x in enumerate(text.split("\n")):
             w = tuple(WORD.findall(x.lower()))
-            if len(w) >= least:
+            if w:
                 lines.append((i, k, w))
                 first.setdefault(w, (i, k))
-    near = {w for w in first if any(first[v] < first[w] and edit_one(w, v) for v in first if v != w)}
+    long = [w for w in first if len(w) >= least]
+    near = {w for w in long if any(first[v] < first[w] and abs(len(v) - len(w)) <= bound and edits(w, v) <= bound for v in long if v != w)}
     return {(i, k) for i, k, w in lines if w in near or (i, k) > first[w]}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_line_dedup_is_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "bound"), [(0, 1), (1, 1), (2, 1), (3, 2), (4, 3), (5, 0)])
+def test_line_dedup_is_brute_force(spark, seed, bound):
     rng = np.random.default_rng(seed)
     base = [" ".join(rng.choice(list("abcdefg"), rng.integers(6, 14))) for _ in range(12)]
 
     def noisy(line):
         w = line.split()
-        for _ in range(rng.integers(0, 3)):
+        for _ in range(rng.integers(0, 2 + max(bound, 1))):
             k, at = rng.integers(0, 3), rng.integers(0, len(w))
             w = w[:at] + ([] if k == 0 else [rng.choice(list("abcXY"))]) + w[at + (k < 2) :]
         return " ".join(w)
 
     docs = {i: "\n".join(noisy(base[rng.integers(0, 12)]) for _ in range(rng.integers(1, 6))) for i in range(60)}
-    docs |= {100: "", 101: "   \n\t", 102: " ".join(["long"] * 3000), 103: " ".join(["long"] * 2999), 104: "a b a b a b a b a b\na b a b a b a b a b a b"}
-    gone = brute_lines(docs)
-    table = spark.createDataFrame([(i, t, "x") for i, t in docs.items()], "doc_id long, text string, text_key string").repartition(4)
-    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(table, counts=("n_exact", "n_near")).collect()}
+    docs |= {100: "", 101: "   \n\t", 104: "a b a b a b a b a b\na b a b a b a b a b a b", 105: "Accept all cookies\nAccept all  cookies", 106: "accept ALL cookies\nown"}
+    if bound == 1:
+        docs |= {102: " ".join(["long"] * 800), 103: " ".join(["long"] * 799)}
+    gone = brute_lines(docs, bound=bound)
+    assert {(105, 1), (106, 0)} <= gone
+    table = spark.createDataFrame([(i, t, "x", "old") for i, t in docs.items()], "doc_id long, text string, text_key string, n_near string").repartition(4)
+    found = line_dedup.dedup_lines(table, counts=("n_exact", "n_near"), bound=bound)
+    assert found.columns == ["doc_id", "text", "text_key", "n_exact", "n_near"]
+    out = {r["doc_id"]: r for r in found.collect()}
     for i, t in docs.items():
         assert out[i]["text"] == "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone), i
         assert out[i]["n_exact"] + out[i]["n_near"] == sum(g[0] == i for g in gone) and out[i]["text_key"] == "x"
@@ -64,9 +72,10 @@ def test_line_dedup_is_brute_force(spark, seed):
 
 def test_line_dedup_edges(spark):
     line = "one two three four five six seven eight"
-    rows = [(1, f"{line}\nshort"), (1, f"{line}\nshort"), (2, line.upper()), (3, None), (None, line)]
+    rows = [(1, f"{line}\nshort"), (1, f"{line}\nshort"), (2, line.upper()), (3, None), (None, line), (4, "\n".join(f"line {i % 30_000}" for i in range(60_000)))]
     out = sorted(((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
-    assert out == sorted([(1, "short"), (1, "short"), (2, ""), (3, None), (None, line)], key=str)  # a null id comes first
+    left = "\n".join(f"line {i}" for i in range(30_000))
+    assert out == sorted([(1, "short"), (1, "short"), (2, ""), (3, None), (None, line), (4, left)], key=str)  # a null id comes first
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
 
 
