@@ -88,8 +88,14 @@ def words(text: Column) -> Column:
 
 
 def normal_line(line: Column) -> Column:
-    """Lower case, runs of white space as one space, none at the ends: what lines are compared by."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+    """Lower case, runs of white space as one space, none at the ends: what lines are compared by. Single spaces, which are
+    nearly all, are no match."""
+    return F.trim(F.regexp_replace(F.lower(line), r"(?:[\x09-\x0D]|\x20(?=[\x20\x09-\x0D]))[\x20\x09-\x0D]*", " "))
+
+
+def words_in(line: Column) -> Column:
+    """Words of a normal line, by its spaces."""
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:

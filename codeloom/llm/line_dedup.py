@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import free_names, normal_line, stored, without_lines
+from codeloom.llm.common import free_names, normal_line, stored, without_lines, words_in
 
 
 def pair_hashes(words: Column) -> Column:
@@ -25,34 +25,36 @@ def pair_hashes(words: Column) -> Column:
     return F.zip_with(ahead, after, lambda a, b: F.xxhash64(a, b))
 
 
-def n_words(line: Column) -> Column:
-    return F.length(line) - F.length(F.translate(line, " ", "")) + 1
-
-
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int, exact_min_words: int) -> DataFrame:
     """Lines of words, ``exact_min_words`` or more: id, key (of the text), pos, h1 and h2 (of the normalised line), and
     anchors (null under ``min_words`` words)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     # what is of the document comes before the lines, else it would be computed for each line
     whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), F.transform(F.split(text, "\n"), normal_line).alias("all"))
-    each = whole.select("id", "key", F.posexplode_outer("all").alias("pos", "line")).where((F.col("line") != "") & (n_words(F.col("line")) >= exact_min_words))
-    return each.select("id", "key", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.when(n_words(F.col("line")) >= min_words, anchors(F.col("line"), min_words)).alias("anchors"))
+    each = whole.select("id", "key", F.posexplode_outer("all").alias("pos", "line")).where(F.col("line") != "")
+    each = each.withColumn("n", words_in(F.col("line"))).where(F.col("n") >= exact_min_words)
+    each = each.withColumns({"a": anchor_words(F.col("n")), "b": anchor_words(F.col("n") + 1)})
+    return each.select("id", "key", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.when(F.col("n") >= min_words, anchors(F.col("line"), F.col("a"), F.col("b"))).alias("anchors"))
 
 
-def anchors(line: Column, min_words: int) -> Column:
-    """Hashes of what a line shares with any line within distance 1: the first or the last words, since the edit is in
-    one place. Of two lines, the longer of n words, these are the most words that fit twice into n - 1, rounded down to
-    a power of two; so a line has one class of anchors, or two if its size is at the end of a class."""
+def anchor_words(n: Column) -> Column:
+    """The most words that fit twice into n - 1, rounded down to a power of two from four on."""
+    out = F.floor((n - 1) / 2).cast("int")
+    powers = F.when(out < 4, out)
+    for i in range(2, 31):  # 2 ** 30 words don't fit into a line
+        powers = powers.when(out < 1 << (i + 1), 1 << i)
+    return powers
 
-    def size(n: Column) -> Column:
-        fit = F.floor((n - 1) / 2)
-        return F.when(fit < 4, fit).otherwise(F.pow(F.lit(2), F.floor(F.log2(fit)))).cast("int")
+
+def anchors(line: Column, a: Column, b: Column) -> Column:
+    """Hashes of what a line shares with any line within distance 1: the first or the last words, since the edit is in
+    one place. ``a`` and ``b``: ``anchor_words`` of the line, and of a line of one word more; where they differ, the
+    line has anchors of both sizes."""
 
     def both(a: Column) -> Column:
         return F.array(F.xxhash64(F.lit(0), a, F.call_function("substring_index", line, F.lit(" "), a)), F.xxhash64(F.lit(1), a, F.call_function("substring_index", line, F.lit(" "), -a)))
 
-    n = n_words(line)
-    return F.when(size(n) == size(n + 1), both(size(n))).otherwise(F.concat(both(size(n)), both(size(n + 1))))
+    return F.when(a == b, both(a)).otherwise(F.concat(both(a), both(b)))
 
 
 def variants(lines: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import WORD_RE, free_names, map_batches, normal_line, stored, without_lines
+from codeloom.llm.common import WORD_RE, free_names, map_batches, normal_line, stored, without_lines, words_in
 
 #: Tasks that the rows of one frequent line are dealt to.
 SALTS = 8
@@ -58,7 +58,7 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     # what is of the document comes before the lines, else it would be computed for each line
     whole = docs.select(F.col(id_col).alias("id"), text_key(text).alias("key"), F.col(host_col).alias("host"), F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), normal_line).alias("all"))
     each = whole.select("id", "key", "host", F.posexplode_outer("all").alias("place", "t")).where("t <> ''")
-    return each.select("id", "key", "host", "place", F.xxhash64("t").alias("line"), (F.length("t") - F.length(F.translate("t", " ", "")) + 1).alias("n"))
+    return each.select("id", "key", "host", "place", F.xxhash64("t").alias("line"), words_in(F.col("t")).alias("n"))
 
 
 def host_limits(docs: DataFrame, text_col: str, host_col: str, min_docs: int, max_share: float) -> DataFrame:
