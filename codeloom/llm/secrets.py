@@ -10,18 +10,22 @@ from dataclasses import dataclass, field
 from hashlib import sha256
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import map_batches
+from codeloom.llm.common import arrow_schema, map_batches, stored
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{32,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: What the automata score: runs as long as the shortest credentials in use.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: What the automata score: runs of the letters of assigned values, of their least length; marks of sentences and of
+#: assignments don't stand at the ends.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-][A-Za-z0-9+/_.-]{6,}[A-Za-z0-9+/_-]={0,2}")
 END = ""
+#: Formats whose verdict a worker remembers, and their greatest length; a full table is emptied.
+REMEMBERED, SHORT = 300_000, 64
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, int]]:
@@ -43,6 +47,9 @@ def symbol(c: str) -> str:
     return c
 
 
+SYMBOLS = str.maketrans({chr(i): symbol(chr(i)) for i in range(128)})
+
+
 @dataclass
 class State:
     through: int = 0
@@ -155,51 +162,86 @@ def ordinary_log_likelihood(s: str) -> float:
 
 @dataclass
 class Formats:
-    """Automata of credentials by kind, and the least advantage of a secret over ordinary writing."""
+    """Automata of credentials by kind; the least advantage of a secret over ordinary writing, in nats a character, and
+    the least in all: a short string says less, and few strings are secrets."""
 
     secrets: dict[str, Automaton]
     least: float
+    in_all: float = math.log(10_000)
+    known: dict[str, bool] = field(default_factory=dict, repr=False, compare=False)
+
+    def advantage(self, s: str) -> float:
+        """Of the likeliest credential format over ordinary writing, in nats."""
+        return max(a.log_likelihood(s) for a in self.secrets.values()) - ordinary_log_likelihood(s)
 
     def score(self, s: str) -> float:
-        """Advantage of the likeliest credential format over ordinary writing, in nats a character."""
-        mixed = [a.log_likelihood(s) for a in self.secrets.values()]
-        return (max(mixed) - ordinary_log_likelihood(s)) / (len(s) + 1) if mixed else -math.inf
+        return self.advantage(s) / (len(s) + 1)
+
+    def is_secret(self, s: str) -> bool:
+        """By its format alone, so formats that were judged before are remembered."""
+        shape = s.translate(SYMBOLS)
+        if (found := self.known.get(shape)) is None:
+            advantage = self.advantage(s)
+            found = advantage >= self.in_all and advantage >= self.least * (len(s) + 1)
+            if len(shape) <= SHORT:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[shape] = found
+        return found
 
 
 def scan(text: str, formats: Formats | None) -> list[tuple[str, int, int, int]]:
     """All spans by start, then kind as listed. A candidate that touches a base span is that span's."""
-    base = base_spans(text)
-    if formats:
-        for m in CANDIDATE.finditer(text):
-            if not any(s < m.end() and m.start() < e for _, s, e, _ in base) and formats.score(m[0]) >= formats.least and any(c.isdigit() for c in m[0]):
-                base.append(("format", m.start(), m.end(), m.start()))
-    return sorted(base, key=lambda x: (x[1], KINDS.index(x[0])))
-
-
-def labelled(docs: DataFrame, text_col: str) -> DataFrame:
-    """Distinct (kind, value) of the base secrets."""
-
-    def run(rows: dict[str, list]) -> dict[str, list]:
-        found = set()
-        for text in filter(None, rows[text_col]):
-            found |= {(k, text[v:e]) for k, _, e, v in base_spans(text)}
-        return {"kind": [k for k, _ in found], "value": [v for _, v in found]}
-
-    return map_batches(docs, [text_col], run, "kind string, value string").distinct()
-
-
-def learn_formats(docs: DataFrame, text_col: str = "text", sample: int = 400, at_least: int = 20, least: float = 0.4) -> Formats | None:
+    base = sorted(base_spans(text), key=lambda x: (x[1], KINDS.index(x[0])))
+    if not formats:
+        return base
+    added, at, reach = [], 0, 0  # reach: the end of the base spans that start before a candidate's end
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        while at < len(base) and base[at][1] < end:
+            reach, at = max(reach, base[at][2]), at + 1
+        if reach <= start and formats.is_secret(m[0]):
+            added.append(("format", start, end, start))
+    return sorted(base + added, key=lambda x: (x[1], KINDS.index(x[0]))) if added else base
+
+
+def labelled(docs: DataFrame, text_col: str, sample: int, max_length: int) -> DataFrame:
+    """(kind, hash, value) of the base secrets: of each partition the ``sample`` distinct values of each kind with the
+    smallest hashes, which hold the corpus's. One pass over the texts."""
+    schema = "kind string, hash long, value string"
+    arrow = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, dict[str, int]] = {k: {} for k in KINDS[:3]}
+
+        def smallest(found: dict[str, int]) -> dict[str, int]:
+            return dict(sorted(found.items(), key=lambda x: (x[1], x[0]))[:sample])
+
+        for batch in batches:
+            for text in filter(None, batch.column(0).to_pylist()):
+                for kind, _, end, value in base_spans(text):
+                    if end - value <= max_length:
+                        v = text[value:end]
+                        best[kind][v] = xxhash.xxh3_64_intdigest(v) >> 1
+                        if len(best[kind]) > 4 * sample + 1000:
+                            best[kind] = smallest(best[kind])
+        rows = [(k, h, v) for k, found in best.items() for v, h in smallest(found).items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    return docs.select(text_col).mapInArrow(run, schema)
+
+
+def learn_formats(docs: DataFrame, text_col: str = "text", sample: int = 400, max_length: int = 512, least: float = 0.4) -> Formats | None:
     """Automata from at most ``sample`` labelled values of each kind: those with the smallest hashes in the corpus.
 
-    The sample's bound is the only one: every text is searched for labelled values, and every candidate is scored.
-    None if no kind has ``at_least`` values.
+    Bounds are ``sample`` and ``max_length`` alone (characters of a value that is learned from; longer ones are still
+    found by the base patterns): every text is searched for labelled values, and every candidate is scored. None if
+    the texts have no labelled value. Null texts have none; repeated values count once.
     """
-    values = labelled(docs, text_col).where(F.length("value") <= 200)
-    found: dict[str, list[str]] = {}
-    for kind in KINDS[:3]:
-        rows = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
-        found[kind] = [r["value"] for r in rows]
-    known = {k: Automaton(v) for k, v in found.items() if len(v) >= at_least}
+    values = stored(labelled(docs, text_col, sample, max_length), "labelled")
+    found = {k: [r["value"] for r in values.where(F.col("kind") == k).select("hash", "value").distinct().orderBy("hash", "value").limit(sample).collect()] for k in KINDS[:3]}
+    known = {k: Automaton(v) for k, v in found.items() if v}
     return Formats(known, least) if known else None
 
 
@@ -211,8 +253,9 @@ def find_secrets(docs: DataFrame, formats: Formats | None, id_col: str = "doc_id
     """Spans of every whole text: id, n_assign, n_access, n_hex, n_format, base_sha256, spans.
 
     spans is kind:start:end (code points, end exclusive) by start, joined by commas; base_sha256 digests those of the
-    base kinds. Base spans always stay; kind "format" is what the automata add. One row per input row; a null
-    text has no spans; other columns are not read.
+    base kinds. Base spans always stay; kind "format" is what the automata add. One row per input row, repeated rows
+    too; a null text has no spans; an empty table gives none; other columns are not read. ``id_col`` may not be named
+    like a result.
     """
 
     def run(rows: dict[str, list]) -> dict[str, list]:
@@ -240,7 +283,8 @@ def masked(text: str, formats: Formats | None, mask: str) -> str:
 
 
 def mask_secrets(docs: DataFrame, formats: Formats | None, text_col: str = "text", mask: str = "<secret>") -> DataFrame:
-    """All rows and columns; in ``text_col`` each secret (of an assignment, its value) is replaced by ``mask``."""
+    """All rows and columns, whatever their names; in ``text_col`` each secret (of an assignment, its value) is replaced
+    by ``mask``. Null and empty texts stay; repeated rows are treated alike; an empty table gives none."""
     @F.arrow_udf("string")
     def hide(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
