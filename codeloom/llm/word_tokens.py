@@ -11,8 +11,11 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Words, and pieces, that a worker remembers at most; a full table is emptied, which costs time but no result.
-REMEMBERED = 1_000_000
+#: Words, and pieces, that a worker remembers at most, and their greatest length: tables are bounded in bytes too. A full
+#: one is emptied, which costs time but no result.
+REMEMBERED, SHORT = 500_000, 64
+#: White space that separates words beside the space; the rest is left to the library.
+BREAKS = str.maketrans("\n\t", "  ")
 _OPEN: dict[tuple[str, bool], WordTokens] = {}
 
 
@@ -26,7 +29,7 @@ def byte_letters() -> dict[int, str]:
 class WordTokens(dict):
     """Word -> its number of ids or (``ids=True``) its ids as little-endian uint32. ``words`` splits a text.
 
-    A word is what stands between two spaces of the raw text. One of Latin-1 letters, perhaps with a final mark,
+    A word is what stands between two spaces, tabs or line ends of the raw text. One of Latin-1 letters, perhaps with a final mark,
     is lowered and goes to the model as it is; any other goes through the library whole.
     """
 
@@ -57,23 +60,43 @@ class WordTokens(dict):
         if (found := self.pieces.get(text)) is None:
             if len(self.pieces) >= REMEMBERED:
                 self.pieces.clear()
-            spelt = text.encode().decode("latin-1").translate(self.letters)
-            found = self.pieces[text] = self.value([x.id for x in self.model.tokenize(spelt)])
+            found = self.value([x.id for x in self.model.tokenize(self.spelt(text))])
+            if len(text) <= SHORT:
+                self.pieces[text] = found
         return found
 
+    def spelt(self, text: str) -> str:
+        """Text in the letters that the vocabulary writes for its bytes."""
+        return text.encode().decode("latin-1").translate(self.letters)
+
+    def plain(self, word: str) -> list[str] | None:
+        """The pieces of a word of Latin-1 letters, perhaps with a final mark; None for any other."""
+        body, mark = (word, "") if word.isalpha() else (word[:-1], word[-1:])
+        if self.short and mark in ("", ".", ",", ";", ":", "!", "?") and body.isalpha() and body.isascii() | (max(body) < "\u0100"):
+            return [body.lower(), mark] if mark else [body.lower()]
+        return None
+
+    def pretokens(self, word: str) -> list[str]:
+        """What the model takes one by one, in the vocabulary's letters."""
+        if not word:
+            return []
+        if found := self.plain(word):
+            return [*map(self.spelt, found)]
+        return [x for x, _ in self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(word))]
+
     def __missing__(self, word: str | tuple) -> bytes | int:
         if isinstance(word, tuple):
             return self.value(list(word))
         if len(self) >= REMEMBERED:
             self.clear()
-        body, mark = (word, "") if word.isalpha() else (word[:-1], word[-1:])
         if not word:
             out = self.empty
-        elif self.short and mark in ("", ".", ",", ";", ":", "!", "?") and body.isalpha() and body.isascii() | (max(body) < "\u0100"):
-            out = self.join([self.piece(body.lower()), self.piece(mark)] if mark else [self.piece(body.lower())])
+        elif found := self.plain(word):
+            out = self.join([*map(self.piece, found)])
         else:
             out = self.value(self.whole.encode(word, add_special_tokens=False).ids)
-        self[word] = out
+        if len(word) <= SHORT:
+            self[word] = out
         return out
 
     def words(self, text: str | None) -> list:
@@ -81,5 +104,5 @@ class WordTokens(dict):
         if not text:
             return []
         if not self.special or len(parts := self.special.split(text)) == 1:
-            return text.split(" ")
-        return [w for i, p in enumerate(parts) for w in ([(self.added[p],)] if i % 2 else p.split(" "))]
+            return text.translate(BREAKS).split(" ")
+        return [w for i, p in enumerate(parts) for w in ([(self.added[p],)] if i % 2 else p.translate(BREAKS).split(" "))]
