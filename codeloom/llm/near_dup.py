@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import WORD_RE, arrow_schema, free_names, stored
@@ -24,11 +24,13 @@ from codeloom.llm.components import components
 
 #: Coordinates of a sketch, and the share of equal ones below which two sets of similarity 0.8 fall once in 30,000.
 COORDINATES, SLACK = 64, 0.2
-#: Members of a bucket or class that are compared in one piece; larger ones are compared block by block.
-TOGETHER = 1000
+#: Members of a bucket or class that are compared in one piece, and shingles in it; larger ones are compared block by
+#: block.
+TOGETHER, SHINGLES = 1000, 2_000_000
 #: Rows for one call of a grouped function.
 BATCH = 3000
-REMEMBERED = 500_000
+#: Words that a worker remembers, and their greatest length; a full table is emptied.
+REMEMBERED, SHORT = 500_000, 64
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64)
@@ -48,7 +50,9 @@ class Shingles(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        out = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= SHORT:
+            self[word] = out
         return out
 
     def of(self, text: str | None, n: int) -> np.ndarray:
@@ -76,18 +80,19 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """id, key (of the text), node (digest of the shingle set; null: no words), sketch."""
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, key long, node binary, sketch binary"
+    """id, key (of the text), node (digest of the shingle set; null: no words), sketch, width (number of shingles)."""
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, key long, node binary, sketch binary, width long"
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, found = [], []
+            nodes, found, widths = [], [], []
             for text in batch.column(2):
                 s = _HASHES.of(text.as_py(), n)
                 nodes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 found.append(sketch(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(found, pa.binary())], schema=arrow)
+                widths.append(len(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(found, pa.binary()), pa.array(widths, pa.int64())], schema=arrow)
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, schema)
@@ -141,10 +146,10 @@ def forest(linked: np.ndarray) -> np.ndarray:
     return label
 
 
-def in_blocks(members: DataFrame, group: str, size: str, batches: int) -> DataFrame:
-    """``members`` with task and a, b: a group of up to TOGETHER members is one piece, with others in a task. Of a larger
-    group, each pair of its blocks is a task (a <= b), and a member goes to the pairs that have its block."""
-    n = F.ceil(F.col(size) / TOGETHER).cast("int")
+def in_blocks(members: DataFrame, group: str, blocks: Column, batches: int) -> DataFrame:
+    """``members`` with task and a, b: a group of one block is one piece, with others in a task. Of a larger group, each
+    pair of its blocks is a task (a <= b), and a member goes to the pairs that have its block."""
+    n = blocks.cast("int")
     block = F.pmod(F.xxhash64(F.lit(3), "node"), n).cast("int")
     split = members.withColumn("block", F.when(n > 1, block).otherwise(0)).withColumn("other", F.explode(F.when(n > 1, F.sequence(F.lit(0), n - 1)).otherwise(F.array(F.lit(0)))))
     split = split.withColumns({"a": F.least("block", "other"), "b": F.greatest("block", "other")})
@@ -239,11 +244,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     included. Words are compared as they stand. A document of fewer than ``n`` words is one shingle of all its words;
     one without words (or null) has no links and is a class of its own. Repeated rows are copies of each other. Buckets that are still large
     at ``depth`` are searched block by block, so none is cut. Exact on what met: links are verified on whole sets.
-    ``only`` (key) leaves out documents of other texts.
+    ``only`` (key) leaves out documents of other texts. An empty table gives none; other columns aren't read.
     """
     rows = sketches(docs, id_col, text_col, n)
     rows = stored(rows if only is None else rows.join(only.select("key"), "key", "left_semi").select("id", "key", "node", "sketch"), "sketches")
-    nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "key")).alias("first"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "key")).alias("first"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("width").alias("width")), "nodes")
     level, meeting = stored(children(nodes, threshold, runs_for(recall, threshold, depth)), "paths"), []
     for at in range(depth):
         sizes = level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
@@ -258,16 +263,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     for more in meeting[1:]:
         buckets = buckets.unionByName(more)
     batches = max(1, math.ceil(buckets.count() / BATCH))
-    pairs = met(in_blocks(buckets.join(nodes.select("node", "sketch"), "node"), "path", "size", batches), threshold)
-    coarse = stored(components(pairs), "coarse")
-    sizes = coarse.groupBy("component").agg(F.count("*").alias("size"))
-    wanted = coarse.join(sizes, "component").join(nodes.select("node", "copies", F.col("first.id").alias("id"), F.col("first.key").alias("key")), "node")
-    members = shingle_sets(docs, wanted, id_col, text_col, n)
-    found = stored(verified(in_blocks(members, "component", "size", max(1, math.ceil(coarse.count() / BATCH))), threshold), "links")
+    pairs = met(in_blocks(buckets.join(nodes.select("node", "sketch"), "node"), "path", F.ceil(F.col("size") / TOGETHER), batches), threshold)
+    coarse = stored(components(pairs).join(nodes.select("node", "copies", "width", F.col("first.id").alias("id"), F.col("first.key").alias("key")), "node"), "coarse")
+    # tasks are dealt by shingles too: texts may be long
+    sizes = stored(coarse.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / TOGETHER, F.sum("width") / SHINGLES)).alias("blocks")), "sizes")
+    members_n, shingles = coarse.agg(F.count("*"), F.coalesce(F.sum("width"), F.lit(0))).first()
+    members = shingle_sets(docs, coarse.drop("width").join(sizes, "component"), id_col, text_col, n)
+    found = stored(verified(in_blocks(members, "component", F.col("blocks"), max(1, math.ceil(members_n / BATCH), math.ceil(shingles / SHINGLES))), threshold), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = components(found.select(F.col("node").alias("u"), F.col("least").alias("v")))
     of_node = stored(nodes.select("node", "copies", F.col("first.id").alias("id")).join(links, "node", "left").join(named, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
-    least = of_node.groupBy("component").agg(F.min("id").alias("class_id"))
+    least = stored(of_node.groupBy("component").agg(F.min("id").alias("class_id")), "least")
     named = of_node.join(least, "component").select(F.col("node").alias("of"), "component", "class_id", "n_links")
     return rows.join(named, F.col("node") == F.col("of"), "left").select("id", "key", "component", F.when(F.col("of").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
@@ -275,8 +281,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each class of ``classes``: that of its smallest id (then smallest text hash). All columns stay.
 
-    Repeated rows are one; documents without words are classes of their own. Ids may be null or shared: classes are
-    told apart by their component.
+    Repeated rows are one; documents without words (null texts too) are classes of their own. Ids may be null or shared:
+    classes are told apart by their component. An empty table gives none; columns may have any names.
     """
     of = classes(docs, id_col, text_col, **options)
     alone = F.col("component").isNull()
