@@ -136,30 +136,61 @@ def test_near_duplicates_without_ids(spark):
     assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
 
 
+def pairs_of_blocks(monkeypatch):
+    """The stored tables of a search by name, to see which blocks met."""
+    seen, stored = {}, topk_search.stored
+    monkeypatch.setattr(topk_search, "stored", lambda df, name: seen.setdefault(name, stored(df, name)))
+    return seen
+
+
 @pytest.mark.parametrize("clustered", [False, True])
-def test_top_k_is_brute_force(spark, clustered):
+def test_top_k_is_brute_force(spark, clustered, monkeypatch):
+    """Repeated ids too: each row is a candidate, and queries of one id with two vectors share a list. On clusters most
+    blocks don't meet."""
     rng = np.random.default_rng(2)
     x = rng.integers(-3, 4, (3000, 6)).astype(float)
     if clustered:
-        x = np.repeat(rng.integers(-60, 60, (10, 6)), 300, 0) + x
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (7, x[7].tolist())]
-    data = spark.createDataFrame(rows, "vec_id long, vector array<double>")
-    found = topk_search.top_k(data.where("vec_id % 100 = 0"), data, k=7, data_rows=700, query_rows=16).toPandas()
+        x = np.repeat(rng.integers(-300, 300, (10, 6)), 300, 0) + x
+    ids = np.arange(3000)
+    ids[50:60], ids[200] = 7, 100  # rows of one id: 100 is a query with two vectors
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)] + [(5000, None), (None, x[1].tolist()), (300, x[300].tolist()), (6000, [1.0, 2.0])]
+    ids, x = np.append(ids, 300), np.append(x, x[300:301], 0)
+    data = spark.createDataFrame([(*r, "c") for r in rows], "vec_id long, vector array<double>, score string")
+    seen = pairs_of_blocks(monkeypatch)
+    found = topk_search.top_k(data.where("vec_id % 100 = 0"), data, k=7, block_values=700 * 6, query_values=4 * 6).toPandas()
+    assert found.query_id.nunique() == 30 - 1
     for q, g in found.groupby("query_id"):
-        s = x @ x[q]
-        s[q] = -np.inf
-        want = np.lexsort((np.arange(3000), -s))[:7]
+        own = np.unique(x[ids == q], axis=0)
+        s = np.where(ids != q, 1, np.nan) * (own @ x.T)
+        want = sorted(((-v, int(i)) for r in s for v, i in zip(r, ids, strict=True) if not np.isnan(v)))[:7]
         g = g.sort_values("rank")
-        assert list(g.vec_id) == want.tolist() and list(g.score) == s[want].astype(int).tolist() and list(g["rank"]) == list(range(1, 8))
-    assert found.query_id.nunique() == 30
+        assert [(-v, i) for v, i in zip(g.score, g.vec_id, strict=True)] == want and list(g["rank"]) == list(range(1, 8))
+    blocks = seen["opened"].select("dim", "node", "block").distinct().count() * seen["data-nodes"].agg(F.sum("blocks")).first()[0]
+    met = seen["pairs"].count()
+    assert met < 0.4 * blocks if clustered else met <= blocks
 
 
-def test_dual_tree_prunes_clusters():
+def test_cover_tree():
+    """Children cover their node's rows within the scale, are further apart than it, and share the rows out."""
     rng = np.random.default_rng(1)
     far = np.repeat(rng.normal(size=(8, 3)) * 1000, 2000, 0) + rng.normal(size=(16000, 3))
-    s = topk_search.Search(far[:40], np.arange(40), far, np.arange(16000), 5)
+
+    def check(node):
+        assert np.allclose(topk_search.distances(far[node.rows], node.centre).max(), node.radius)
+        if node.children:
+            assert sorted(np.concatenate([c.rows for c in node.children])) == sorted(node.rows)
+            centres = np.stack([c.centre for c in node.children])
+            apart = min(np.sort(topk_search.distances(centres, c))[1] for c in centres)
+            assert max(c.radius for c in node.children) < apart and (node.children[0].centre == node.centre).all()
+        return 1 + sum(map(check, node.children))
+
+    tree = topk_search.cover_tree(far)
+    assert check(tree) > 30
+    s = topk_search.Search(far[:40], np.arange(40), np.full(40, -np.inf), far, np.arange(16000), tree, 5)
     s.run()
     assert s.products < 0.5 * 40 * 16000
+    same = topk_search.cover_tree(np.ones((1000, 4)))
+    assert not same.children and same.radius == 0
 
 
 def test_quantized_and_few_candidates(spark):

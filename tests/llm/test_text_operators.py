@@ -154,11 +154,97 @@ def test_learned_formats(spark):
     assert np.mean([formats.score(x) >= formats.least for x in held_out]) > 0.9 and not any(formats.score(x) >= formats.least for x in clean)
     found = secrets.find_secrets(spark.createDataFrame([(1, f"see {held_out[0]} here {clean[0]}"), (2, None)], "doc_id long, text string"), formats)
     assert {r["doc_id"]: r["spans"] for r in found.collect()} == {1: "format:4:37", 2: ""}
-    assert secrets.learn_formats(docs.limit(0)) is None
+    assert secrets.learn_formats(docs.limit(0)) is None and secrets.find_secrets(docs.limit(0), formats).isEmpty()
+    few = secrets.learn_formats(docs.limit(1))
+    assert list(few.secrets) == ["assign"] and few.secrets["assign"].size == 1
     masked = secrets.mask_secrets(spark.createDataFrame([(1, "token = abcdefgh12", "x"), (1, None, "x")], "doc_id long, text string, spans string"), formats).collect()
     assert [r["text"] for r in masked] == ["token = <secret>", None] and masked[0]["spans"] == "x"
 
 
+def brute_spans(text):
+    """The base rules letter by letter."""
+    spans, low = [], "".join(c.lower() if c.isascii() else c for c in text)
+    word, value = ("password", "passwd", "secret", "token", "api_key", "apikey"), set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-")
+
+    def run(at, chars):
+        end = at
+        while end < len(text) and text[end] in chars:
+            end += 1
+        return end
+
+    def assignment(at):
+        for k in word:
+            if low.startswith(k, at):
+                i = at + len(k)
+                i += text[i : i + 1] in ("'", '"') and i < len(text)
+                i = run(i, " ")
+                if text[i : i + 1] in (":", "=") and i < len(text):
+                    i = run(i + 1, " ")
+                    quoted = i < len(text) and text[i] in "'\""
+                    end = run(i + quoted, value)
+                    if end > i + quoted:
+                        return end, end - i - quoted >= 8
+        return None
+
+    def access(at):
+        end = run(at + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")) if text.startswith("AKIA", at) else 0
+        return (end, end - at >= 16) if end > at + 4 else None
+
+    def hexa(at):
+        end = run(at, set("0123456789abcdef"))
+        return (end, end - at >= 32) if end > at else None
+
+    for kind, rule in (("assign", assignment), ("access", access), ("hex", hexa)):
+        at = 0
+        while at < len(text):
+            if found := rule(at):
+                spans += [(kind, at, found[0])] if found[1] else []
+                at = found[0]
+            else:
+                at += 1
+    return sorted(spans, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+
+
+def test_base_spans_are_brute_force():
+    rng = np.random.default_rng(6)
+    parts = ["password", "Token", "api_key", "apikey", "SECRET", "passwd", "=", ":", " ", "  ", '"', "'", "AKIA", "ABCDEFGH01234567", "0123456789abcdef", "abcdef01" * 4, "é", "İ", "ſecret", "\n", "x", "value.1/+-", "=="]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, rng.integers(1, 14)))
+        assert [x[:3] for x in secrets.scan(text, None)] == brute_spans(text), text
+
+
+def test_automata_are_what_they_merge():
+    """Without any tolerance only equal states merge, so a format's likelihood is its frequency; with all of it one state
+    is left, whose likelihood is a product of the symbols' frequencies."""
+    import collections
+    import math
+
+    rng = np.random.default_rng(9)
+    strings = ["".join(rng.choice(list("ag1-"), rng.integers(1, 5))) for _ in range(300)]
+    exact, shapes = secrets.Automaton(strings, alpha=2), collections.Counter(s.translate(secrets.SYMBOLS) for s in strings)
+    for s in set(strings):
+        assert math.isclose(exact.log_likelihood(s), math.log(shapes[s.translate(secrets.SYMBOLS)] / 300), rel_tol=1e-9)
+    one = secrets.Automaton(strings, alpha=1e-300)
+    symbols = collections.Counter(c for s in strings for c in [*s.translate(secrets.SYMBOLS), secrets.END])
+    assert len(one.states) == 1
+    for s in strings[:50]:
+        assert math.isclose(one.log_likelihood(s), sum(math.log(symbols[c] / symbols.total()) for c in [*s.translate(secrets.SYMBOLS), secrets.END]), rel_tol=1e-9)
+    for a in (exact, one, secrets.Automaton(strings)):
+        assert all(x.ends + sum(x.count.values()) == x.through for x in a.states) and a.states[0].through >= 300
+
+
+def test_secrets_of_letters_and_few_labels(spark):
+    """Short and dotted credentials and those without a digit are scored too; 19 labels are enough; long texts pass."""
+    rng = np.random.default_rng(11)
+    key = lambda: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), 5)) + "." + "".join(rng.choice(list("GHJKLMNPQRSTVWXYZ"), 9))
+    docs = spark.createDataFrame([(i, f"secret: {key()}") for i in range(19)], "doc_id long, text string")
+    formats = secrets.learn_formats(docs)
+    hidden, plain = [key() for _ in range(30)], "The configuration was internationalized yesterday; see www.example.com or 2024-01-11."
+    rows = [(i, f"so {x} there", "x") for i, x in enumerate(hidden)] + [(100, plain, "x"), (101, plain * 20_000 + "a" * 200_000, "x"), (101, None, "x"), (101, None, "x")]
+    found = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, spans string"), formats).collect()
+    assert len(found) == len(rows) and sum(r["n_format"] for r in found if r["doc_id"] < 30) >= 25 and not any(r["n_format"] for r in found if r["doc_id"] >= 100)
+
+
 def test_unlabelled_secrets_are_no_negatives(spark):
     """However many unlabelled secrets stand in the corpus, each is found; long words and names are not."""
     rng = np.random.default_rng(8)
