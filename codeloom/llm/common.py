@@ -43,7 +43,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     and a lost executor loses none of it. ``clear_scratch`` removes what an application has stored."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

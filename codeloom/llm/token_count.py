@@ -22,13 +22,16 @@ BLOCK = 16_000_000
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of 32-bit numbers as one compressed value."""
-    sizes = np.array([len(a) for a in arrays], dtype=np.int32)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.astype(np.int32).tobytes() for a in (np.array([len(arrays)]), sizes, *arrays)))
+    """Arrays of 32-bit numbers as one compressed value: all first bytes, then all second ones and so on, as most numbers
+    are small."""
+    sizes = np.array([len(a) for a in arrays])
+    numbers = np.concatenate([[len(arrays)], sizes, *arrays]).astype("<i4")
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def unpacked(value: bytes) -> list[np.ndarray]:
-    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(value), dtype=np.int32)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(value), dtype=np.uint8).reshape(4, -1)
+    x = np.ascontiguousarray(planes.T).view("<i4").ravel()
     return np.split(x[1 + x[0] :], np.cumsum(x[1 : 1 + x[0]])[:-1])
 
 
@@ -98,9 +101,9 @@ def frequencies(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) ->
 
 
 def counted(pieces: DataFrame, tokenizer: str) -> DataFrame:
-    """(block, at, n) of rows (piece, block, at): the model counts each distinct piece once. All rows of a piece meet in
+    """(block, found) of rows (piece, block, at), where found is at * 2**32 + the number of tokens: the model counts each distinct piece once. All rows of a piece meet in
     one task, in order: they are one a block at most, so no piece is hot."""
-    schema = "block long, at int, n int"
+    schema = "block long, found long"
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +114,8 @@ def counted(pieces: DataFrame, tokenizer: str) -> DataFrame:
                 if piece != last:
                     last, n = piece, len(model.tokenize(piece))
                 out.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("at"), pa.array(out, pa.int32())], schema=arrow)
+            found = (batch.column("at").to_numpy().astype(np.int64) << 32) + np.array(out, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(found)], schema=arrow)
 
     return pieces.repartition("piece").sortWithinPartitions("piece").mapInArrow(run, schema)
 
@@ -134,7 +138,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         for r in block.itertuples():
             lengths, steps, times, spelt, of = unpacked(r.cells)
             n = np.zeros(len(pieces), dtype=np.int64)
-            n[pieces["at"].to_numpy()] = pieces["n"].to_numpy()
+            found = pieces["found"].to_numpy()
+            n[found >> 32] = found & 0xFFFFFFFF
             words = sums(n[of], spelt)
             at = np.cumsum(steps, dtype=np.int64)  # runs on over the documents: each starts again from 0
             starts = np.cumsum(lengths) - lengths
