@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import import_segments, is_test_path, stem_of
-from codeloom.operators.graph import reverse_hops
+from codeloom.operators.graph import reverse_hops, stored
 
 
 def body_hash(lines, start, end):
@@ -52,6 +52,32 @@ def cache_hits(current: DataFrame, cache: DataFrame) -> DataFrame:
     return cache.join(current.select("path", "content_hash"), ["path", "content_hash"], "left_semi")
 
 
+def same_paths(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables have the same set of paths."""
+    one, two = (x.select("path").distinct() for x in (a, b))
+    return one.join(two, "path", "left_anti").isEmpty() and two.join(one, "path", "left_anti").isEmpty()
+
+
+def pytest_hint(impacts: DataFrame, most: int = 20) -> DataFrame:
+    """(hint): a call of pytest with the first ``most`` files of ``impacted_tests``, and how many more there are. No row
+    without any file."""
+    tier = F.when(F.col("tier") == "direct", 0).when(F.col("tier") == "transitive", 1).otherwise(2)
+    first = impacts.select(tier.alias("t"), "path").orderBy("t", "path").limit(most).agg(F.array_sort(F.collect_list(F.struct("t", "path"))).alias("p"))
+    n = impacts.agg(F.count("*").alias("n")).where("n > 0")
+    more = F.when(F.col("n") > most, F.concat(F.lit("  # +"), (F.col("n") - most).cast("string"), F.lit(" more impacted test files not shown"))).otherwise("")
+    return n.join(first).select(F.concat(F.lit("pytest "), F.array_join(F.transform("p", lambda x: x["path"]), " "), more).alias("hint"))
+
+
+def diff_lines(delta: DataFrame, k: int = 8) -> DataFrame:
+    """(change, rank, line, more) of a diff (with callers): the first ``k`` of each kind of change, with its callers, and how
+    many there are beyond."""
+    w = Window.partitionBy("change")
+    names = F.when(F.size("callers") > 0, F.concat(F.lit("  <- "), F.array_join(F.slice("callers", 1, 3), ", "), F.when(F.size("callers") > 3, F.concat(F.lit(", +"), (F.size("callers") - 3).cast("string"))).otherwise(""))).otherwise("")
+    mark = F.when(F.col("change") == "added", "+ ").when(F.col("change") == "removed", "- ").otherwise("~ ")
+    rows = delta.withColumn("callers", F.coalesce("callers", F.array().cast("array<string>"))).withColumns({"rank": F.row_number().over(w.orderBy("path", "qualname", "id")), "n": F.count("*").over(w)})
+    return rows.where(F.col("rank") <= k).select("change", "rank", F.concat(mark, "id", names).alias("line"), F.greatest(F.col("n") - k, F.lit(0)).alias("more"))
+
+
 def import_hits(imports: DataFrame, changed_paths: DataFrame) -> DataFrame:
     """(path) of test files that import something a changed file may stand for."""
     stems = changed_paths.select(stem_of(F.col("path")).alias("stem")).distinct()
@@ -69,7 +95,7 @@ def call_impacts(seeds: DataFrame, edges: DataFrame, symbols: DataFrame) -> Data
 
 def impacted_tests(delta: DataFrame, edges: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """Test files that a diff may affect, strongest evidence first: direct, transitive, import (only without calls)."""
-    calls = call_impacts(delta.where("change <> 'removed'").select("id"), edges, symbols)
+    calls = stored(call_impacts(delta.where("change <> 'removed'").select("id"), edges, symbols))  # it is read twice
     hits = import_hits(imports, delta.select("path").distinct()).join(calls.select("path"), "path", "left_anti")
     both = calls.unionByName(hits.select("path", F.lit("import").alias("tier"), F.array().cast("array<string>").alias("symbols")))
     return both.orderBy(F.when(F.col("tier") == "direct", 0).when(F.col("tier") == "transitive", 1).otherwise(2), "path")

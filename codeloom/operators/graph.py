@@ -31,6 +31,25 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Levels:
+    """What a search has reached. Levels are stored tables; every sixteenth writes them as one, so that a plan has few of
+    them, however long the search."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [first]
+
+    def add(self, level: DataFrame) -> None:
+        self.parts.append(level)
+        if len(self.parts) > 16:
+            self.parts = [stored(self.all())]
+
+    def all(self) -> DataFrame:
+        out = self.parts[0]
+        for x in self.parts[1:]:
+            out = out.unionByName(x)
+        return out
+
+
 def adjacency(edges: DataFrame, direction: str = "in") -> DataFrame:
     """(id, neighbours): sorted distinct callers ("in") or callees ("out")."""
     of, other = ("callee", "caller") if direction == "in" else ("caller", "callee")
@@ -70,18 +89,18 @@ def sites(edges: DataFrame, symbols: DataFrame, symbol_id: str, direction: str =
     return found.select("id", F.coalesce("path", "module").alias("path"), "start_line", F.explode_outer("lines").alias("line")).select("id", "path", F.coalesce("line", "start_line").alias("line"))
 
 
-def reverse_hops(seeds: DataFrame, edges: DataFrame, max_hops: int = 1_000) -> DataFrame:
-    """(id, hop): least number of calls from each id to any seed (id), seeds at 0."""
+def reverse_hops(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, hop): least number of calls from each id to any seed (id), seeds at 0. It goes on until nothing new is
+    reached, however far that is."""
     back = stored(edges.select(F.col("callee").alias("id"), F.col("caller").alias("next")).distinct())
     frontier = stored(seeds.select("id").distinct())
-    seen = frontier.withColumn("hop", F.lit(0))
-    for hop in range(1, max_hops + 1):
-        new = frontier.join(back, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti")
+    seen, hop = Levels(frontier.withColumn("hop", F.lit(0))), 0
+    while not frontier.isEmpty():
+        hop += 1
+        new = frontier.join(back, "id").select(F.col("next").alias("id")).distinct().join(seen.all(), "id", "left_anti")
         frontier = stored(new)
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier.withColumn("hop", F.lit(hop)))
-    return seen
+        seen.add(frontier.withColumn("hop", F.lit(hop)))
+    return seen.all()
 
 
 def neighbourhood(edges: DataFrame, symbols: DataFrame, symbol_id: str, hops: int = 1) -> DataFrame:
@@ -109,30 +128,30 @@ def file_neighbourhood(edges: DataFrame, symbols: DataFrame, path: str) -> DataF
     return own.withColumn("module", F.when(F.endswith("id", F.lit(MODULE)), F.regexp_replace("id", f"{MODULE}$", "")))
 
 
-def shortest_paths(edges: DataFrame, symbols: DataFrame, source: str, target: str, max_hops: int = 50) -> DataFrame:
-    """(length, path) of all shortest call paths between two symbols; none if there is none. Modules are no steps.
-    Every level keeps all least-depth predecessors, so paths are put together from these alone."""
+def shortest_paths(edges: DataFrame, symbols: DataFrame, source: str, target: str) -> DataFrame:
+    """(length, path) of all shortest call paths between two symbols, of any length; none if there is none. Modules are no
+    steps. Every level keeps all least-depth predecessors, so paths are put together from these alone."""
     spark = edges.sparkSession
     ids = symbols.select("id")
     if source == target:
         return spark.createDataFrame([(0, [source])], "length int, path array<string>")
     out = stored(edges.select(F.col("caller").alias("id"), F.col("callee").alias("next")).distinct().join(ids.withColumnRenamed("id", "next"), "next", "left_semi"))
     frontier = spark.createDataFrame([(source,)], "id string")
-    seen, levels = frontier, []
-    for _ in range(max_hops):
-        step = stored(frontier.join(out, "id").join(seen.withColumnRenamed("id", "next"), "next", "left_anti").select("id", "next"))
+    seen, levels = Levels(frontier), []
+    while True:
+        step = stored(frontier.join(out, "id").join(seen.all().withColumnRenamed("id", "next"), "next", "left_anti").select("id", "next"))
         if step.isEmpty():
             return spark.createDataFrame([], "length int, path array<string>")
         levels.append(step)
         if not step.where(F.col("next") == target).isEmpty():
             break
-        frontier = step.select(F.col("next").alias("id")).distinct()
-        seen = seen.unionByName(frontier)
-    else:
-        return spark.createDataFrame([], "length int, path array<string>")
+        frontier = stored(step.select(F.col("next").alias("id")).distinct())
+        seen.add(frontier)
     paths = spark.createDataFrame([(target, [target])], "at string, path array<string>")
-    for step in reversed(levels):
+    for n, step in enumerate(reversed(levels), 1):
         paths = paths.join(step, paths["at"] == step["next"]).select(F.col("id").alias("at"), F.concat(F.array("id"), "path").alias("path"))
+        if n % 16 == 0:  # a plan of a few joins, however long the path
+            paths = stored(paths)
     return paths.select(F.lit(len(levels)).alias("length"), "path")
 
 

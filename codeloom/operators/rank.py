@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import centrality, relevance, signature
+from codeloom.operators.budget import running
 from codeloom.operators.graph import degrees
 
 
@@ -19,9 +21,7 @@ def scaled(x: Column) -> Column:
 
 def lexical(candidates: DataFrame, task: tuple[str, ...], diff_paths: tuple[str, ...] = (), recent_paths: tuple[str, ...] = ()) -> DataFrame:
     """``candidates`` (id, text, path, ...) with raw relevance and score: raw over the highest raw; zero without any match."""
-    raw = candidates.withColumn("raw", relevance(F.col("text"), F.col("path"), task, diff_paths, recent_paths))
-    top = raw.agg(F.max("raw").alias("top"))
-    return raw.join(F.broadcast(top)).withColumn("score", F.when(F.col("top") > 0, F.col("raw") / F.col("top")).otherwise(0.0)).drop("top")
+    return scored_by(candidates, lambda text, path: relevance(text, path, task, diff_paths, recent_paths))
 
 
 def blended(scored: DataFrame, weight: float = 0.5) -> DataFrame:
@@ -49,7 +49,10 @@ def lean_cap(n_files: int, floor: int = 0) -> int:
 
 
 def close_names(symbols: DataFrame, target: str, k: int = 5) -> DataFrame:
-    """(name, path, tier) of up to ``k`` names like the target: equal but for case, a prefix, a part, or similar (ratio 0.6)."""
+    """(name, path, tier) of up to ``k`` names like the target: equal but for case, a prefix, a part, or similar (ratio 0.6).
+
+    Names whose length alone keeps the ratio under 0.6 aren't compared letter by letter.
+    """
     low, name = target.lower(), F.lower("name")
 
     @F.pandas_udf("double")
@@ -58,7 +61,9 @@ def close_names(symbols: DataFrame, target: str, k: int = 5) -> DataFrame:
 
     first = symbols.groupBy(name.alias("low")).agg(F.min_by(F.struct("name", "path", "test"), F.struct("test", "path", "start_line")).alias("s"))
     tier = F.when(F.col("low") == low, 0).when(F.startswith("low", F.lit(low)) | F.startswith(F.lit(low), F.col("low")), 1).when(F.col("low").contains(low) | F.lit(low).contains(F.col("low")), 2).otherwise(3)
-    found = first.withColumn("tier", tier).withColumn("ratio", ratio("low")).where("tier < 3 OR ratio >= 0.6")
+    both = F.length("low") + len(low)
+    found = first.withColumn("tier", tier).where((F.col("tier") < 3) | (2 * F.least(F.length("low"), F.lit(len(low))) >= 0.6 * both))
+    found = found.withColumn("ratio", ratio("low")).where("tier < 3 OR ratio >= 0.6")
     return found.orderBy("tier", "s.test", F.desc("ratio"), "low").limit(k).select("s.name", "s.path", "tier")
 
 
@@ -84,13 +89,28 @@ def touched_files(symbols: DataFrame, edges: DataFrame, touched: DataFrame) -> D
 
 def workset(symbols: DataFrame, edges: DataFrame, touched: DataFrame, tests: DataFrame, packs: int = 5) -> DataFrame:
     """(tier, rank, item): touched files, the neighbours of the first ``packs`` touched symbols, all touched symbols, tests."""
-    files = touched_files(symbols, edges, touched).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("degree"), "path"))).select(F.lit(0).alias("tier"), "rank", F.col("path").alias("item"))
+    files = running(touched_files(symbols, edges, touched), [F.desc("degree"), F.col("path")], {}).select(F.lit(0).alias("tier"), "rank", F.col("path").alias("item"))
     own = degrees(symbols, edges).join(touched.select("id"), "id", "left_semi")
-    order = Window.orderBy("test", F.desc("degree"), "path", "start_line")
-    ordered = own.withColumn("rank", F.row_number().over(order))
+    ordered = running(own, [F.col("test"), F.desc("degree"), F.col("path"), F.col("start_line")], {})
     seeds = ordered.where(F.col("rank") <= packs).select("id", "rank")
     both = edges.select(F.col("callee").alias("id"), F.col("caller").alias("item")).unionByName(edges.select(F.col("caller").alias("id"), F.col("callee").alias("item")))
     near = both.join(F.broadcast(seeds), "id").groupBy("item").agg(F.min("rank").alias("rank")).select(F.lit(1).alias("tier"), "rank", "item")
     detail = ordered.select(F.lit(2).alias("tier"), "rank", F.col("id").alias("item"))
-    hit = tests.withColumn("rank", F.row_number().over(Window.orderBy(F.when(F.col("tier") == "direct", 0).when(F.col("tier") == "transitive", 1).otherwise(2), "path"))).select(F.lit(3).alias("tier"), "rank", F.col("path").alias("item"))
+    hit = running(tests, [F.when(F.col("tier") == "direct", 0).when(F.col("tier") == "transitive", 1).otherwise(2), F.col("path")], {}).select(F.lit(3).alias("tier"), "rank", F.col("path").alias("item"))
     return files.unionByName(near).unionByName(detail).unionByName(hit)
+
+
+def task_files(files: DataFrame, task: tuple[str, ...], diff_paths: tuple[str, ...] = (), recent_paths: tuple[str, ...] = (), seen: DataFrame | None = None, k: int = 5) -> DataFrame:
+    """(path, raw) of the ``k`` files (path, text) that a task is about: none without a match. ``seen`` (path): files that
+    are in context already."""
+    asked = files if seen is None else files.join(seen.select("path"), "path", "left_anti")
+    scored = asked.select("path", relevance(F.col("text"), F.col("path"), task, diff_paths, recent_paths).alias("raw"))
+    return scored.where("raw > 0").orderBy(F.desc("raw"), "path").limit(k)
+
+
+def scored_by(candidates: DataFrame, scorer: Callable[[Column, Column], Column]) -> DataFrame:
+    """``candidates`` (text, path, ...) with raw and score by any scorer: a function of both columns that returns one, built
+    of expressions or a pandas UDF. Score is raw over the highest raw; zero if none is above zero."""
+    raw = candidates.withColumn("raw", scorer(F.col("text"), F.col("path")))
+    top = raw.agg(F.max("raw").alias("top"))
+    return raw.join(F.broadcast(top)).withColumn("score", F.when(F.col("top") > 0, F.col("raw") / F.col("top")).otherwise(0.0)).drop("top")

@@ -140,15 +140,23 @@ def external_of(decided: DataFrame) -> DataFrame:
     return decided.where("outcome = 'external'").groupBy("caller", F.col("text").alias("callee")).agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
+def _asked(decided: DataFrame) -> DataFrame:
+    return decided.where("outcome = 'ambiguous'").groupBy("caller", "name").agg(F.min(F.struct("n_candidates", "original", "own_source")).alias("a"))
+
+
+def ambiguous_rows(decided: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(caller, name, candidate, test): one row for each owner of the name, or of what an alias stands for."""
+    asked, own = _asked(decided), symbols.select("name", F.col("id").alias("candidate"), "test", "path")
+    direct = asked.where("a.n_candidates > 0").join(own, "name").select("caller", "name", "candidate", "test")
+    aliased = asked.where("a.n_candidates = 0").select("caller", "name", F.col("a.original").alias("original"), F.explode(import_segments(F.col("a.own_source"))).alias("stem"))
+    by_stem = own.select(F.col("name").alias("original"), stem_of(F.col("path")).alias("stem"), "candidate", "test")
+    return direct.unionByName(aliased.join(by_stem, ["original", "stem"]).select("caller", "name", "candidate", "test"))
+
+
 def ambiguous_of(decided: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(caller, name, candidates): all owners of the name, or of what an alias stands for; production code first, then by id."""
-    asked = decided.where("outcome = 'ambiguous'").groupBy("caller", "name").agg(F.min(F.struct("n_candidates", "original", "own_source")).alias("a"))
-    owners = symbols.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("test", "id", "path"))).alias("owners"))
-    direct = asked.where("a.n_candidates > 0").join(owners, "name").select("caller", "name", F.transform("owners", lambda o: o["id"]).alias("candidates"))
-    segments = import_segments(F.col("a.own_source"))
-    aliased = asked.where("a.n_candidates = 0").join(owners.withColumnRenamed("name", "owned"), F.col("a.original") == F.col("owned"))
-    aliased = aliased.select("caller", "name", F.transform(F.filter("owners", lambda o: F.array_contains(segments, stem_of(o["path"]))), lambda o: o["id"]).alias("candidates"))
-    return direct.unionByName(aliased)
+    """(caller, name, candidates) as a map holds them: production code first, then by id."""
+    found = ambiguous_rows(decided, symbols).groupBy("caller", "name").agg(F.sort_array(F.collect_list(F.struct("test", "candidate"))).alias("c"))
+    return found.select("caller", "name", F.transform("c", lambda o: o["candidate"]).alias("candidates"))
 
 
 def invert_ambiguous(ambiguous: DataFrame) -> DataFrame:
@@ -156,6 +164,16 @@ def invert_ambiguous(ambiguous: DataFrame) -> DataFrame:
     return ambiguous.select(F.explode("candidates").alias("candidate"), "caller", "name")
 
 
+def ambiguous_in(decided: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(candidate, n): how many (caller, name) may mean each symbol. Askers are counted by name before owners meet them, so
+    a common name is one row, however many callers and owners it has."""
+    asked = _asked(decided)
+    direct = asked.where("a.n_candidates > 0").groupBy("name").agg(F.count("*").alias("n")).join(symbols.select("name", F.col("id").alias("candidate")), "name")
+    stems = asked.where("a.n_candidates = 0").select(F.col("a.original").alias("name"), F.explode(import_segments(F.col("a.own_source"))).alias("stem")).groupBy("name", "stem").agg(F.count("*").alias("n"))
+    aliased = stems.join(symbols.select("name", stem_of(F.col("path")).alias("stem"), F.col("id").alias("candidate")), ["name", "stem"])
+    return direct.select("candidate", "n").unionByName(aliased.select("candidate", "n")).groupBy("candidate").agg(F.sum("n").alias("n"))
+
+
 def call_graph(raw_calls: DataFrame, symbols: DataFrame, imports: DataFrame, files: DataFrame, raw_refs: DataFrame | None = None) -> dict[str, DataFrame]:
     """The tables edges, ambiguous, external and referenced."""
     decided = decide(rungs(raw_calls, symbols, imports, files))

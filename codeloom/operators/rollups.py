@@ -60,10 +60,43 @@ def churn(commits: DataFrame, days: int = 90) -> DataFrame:
 
 
 def churn_hotspots(commits: DataFrame, symbols: DataFrame, edges: DataFrame, days: int = 90, k: int = 10) -> DataFrame:
-    """(path, commits, fan_in, score): commits times the file's share of the highest fan-in, to one place, half to even."""
-    found = churn(commits, days).join(file_fan_in(symbols, edges).where("fan_in > 0"), "path")
-    top = found.agg(F.max("fan_in").alias("top"))
-    return found.join(F.broadcast(top)).withColumn("score", F.bround(F.col("commits") * F.col("fan_in") / F.col("top"), 1)).drop("top").orderBy(F.desc("score"), "path").limit(k)
+    """(path, commits, fan_in, score): commits times the file's share of the highest fan-in of all files, to one place,
+    half to even. Files without commits in the window, or that nothing calls, are left out."""
+    fan_in = file_fan_in(symbols, edges)
+    top = fan_in.agg(F.max("fan_in").alias("top"))
+    found = churn(commits, days).join(fan_in.where("fan_in > 0"), "path")
+    return found.join(F.broadcast(top)).withColumn("score", F.bround(F.col("commits") * (F.col("fan_in") / F.col("top")), 1)).drop("top").orderBy(F.desc("score"), "path").limit(k)
+
+
+def skip_reasons(skipped: DataFrame) -> DataFrame:
+    """(reason, files) of what discovery left out, the most frequent first."""
+    return skipped.groupBy("reason").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "reason")
+
+
+def run_summary(edges: DataFrame, ambiguous: DataFrame, external: DataFrame) -> DataFrame:
+    """One row: edges, ambiguous and external calls of a build."""
+    n = [t.agg(F.count("*").alias(c)) for c, t in (("edges", edges), ("ambiguous", ambiguous), ("external", external))]
+    return n[0].join(F.broadcast(n[1])).join(F.broadcast(n[2]))
+
+
+def external_counts(external: DataFrame) -> DataFrame:
+    """(caller, callee, n, line) of raw external calls: how many, and the last line."""
+    return external.groupBy("caller", "callee").agg(F.count("*").alias("n"), F.max("line").alias("line"))
+
+
+def module_edges(projected: DataFrame) -> DataFrame:
+    """(src, targets): the directories that each directory calls, as one line."""
+    return projected.groupBy("src").agg(F.array_join(F.array_sort(F.collect_set("dst")), ", ").alias("targets"))
+
+
+def churn_windows(commits: DataFrame, width: str = "7 days") -> DataFrame:
+    """(week, path, commits) of tumbling windows."""
+    return commits.groupBy(F.window("ts", width).alias("w"), "path").agg(F.count("*").alias("commits")).select(F.col("w.start").alias("week"), "path", "commits")
+
+
+def churn_sessions(commits: DataFrame, gap: str = "1 day") -> DataFrame:
+    """(start, path, commits) of runs of commits to a file without a longer gap."""
+    return commits.groupBy(F.session_window("ts", gap).alias("w"), "path").agg(F.count("*").alias("commits")).select(F.col("w.start").alias("start"), "path", "commits")
 
 
 def entry_points(symbols: DataFrame, edges: DataFrame) -> DataFrame:

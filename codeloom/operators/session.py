@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from pathlib import Path
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Records as they are read from JSON lines.
@@ -18,9 +21,21 @@ def records(lines: DataFrame) -> DataFrame:
     return lines.where(F.startswith(body, F.lit("{"))).withColumn("record", F.from_json(body, RECORD, {"mode": "PERMISSIVE"})).where(F.try_parse_json(body).isNotNull())
 
 
+def find_transcript(folder: str, root: str, session: str | None = None) -> str | None:
+    """The transcript of a session of the project at ``root`` below an agent's ``folder``, or the one changed last; None if
+    there is none."""
+    project = Path(folder, re.sub(r"[/\\:]", "-", str(root)))
+    if session:
+        path = project / f"{session}.jsonl"
+        return str(path) if path.is_file() else None
+    found = sorted(project.glob("*.jsonl"), key=lambda p: p.stat().st_mtime) if project.is_dir() else []
+    return str(found[-1]) if found else None
+
+
 def read_transcript(spark, path: str) -> DataFrame:
-    """(seq, record) of a JSON-lines file, by line number."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("seq", "value"))
+    """(seq, record) of JSON-lines files, one record a line and in their order: files are split between tasks, and seq grows
+    with the place in a file."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), "value")
     return records(lines).select("seq", "record")
 
 
@@ -59,12 +74,22 @@ def seen_symbols(reads: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def session_files(reads: DataFrame, symbols: DataFrame, k: int | None = None) -> DataFrame:
-    """(session_id, path, fully_read, symbols) of files in context, those with most symbols first."""
+    """(session_id, path, fully_read, symbols) of files in context, those with most symbols first; the first ``k`` of each
+    session."""
     whole = F.col("offset").isNull() & F.col("limit").isNull()
     files = reads.where("path IS NOT NULL").groupBy("session_id", "path").agg(F.bool_or(whole).alias("fully_read"))
     n = seen_symbols(reads, symbols).groupBy("session_id", "path").agg(F.count("*").alias("symbols"))
-    out = files.join(n, ["session_id", "path"], "left").fillna(0, ["symbols"]).orderBy("session_id", F.desc("symbols"), "path")
-    return out if k is None else out.limit(k)
+    out = files.join(n, ["session_id", "path"], "left").fillna(0, ["symbols"])
+    if k is not None:
+        rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("symbols"), "path"))
+        out = out.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+    return out.orderBy("session_id", F.desc("symbols"), "path")
+
+
+def totals(flat: DataFrame, reads: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(session_id, turns, consumed, files, files_whole, symbols) of each session."""
+    found = session_files(reads, symbols).groupBy("session_id").agg(F.count("*").alias("files"), F.count_if("fully_read").alias("files_whole"), F.sum("symbols").alias("symbols"))
+    return sessions(flat).join(found, "session_id", "left").fillna(0, ["files", "files_whole", "symbols"])
 
 
 def remaining(consumed, window: int = 200_000, floor: int = 20_000):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
-from codeloom.operators import budget, change, graph, lookup, rank, resolve, rollups, session
+from codeloom.operators import budget, change, graph, lean, lookup, packs, rank, resolve, rollups, session
 from codeloom.sources.fixtures import Fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,9 +51,15 @@ def files_scan(x):
     return x.files().select("path", "language", "doc", "size", "content_hash")
 
 
+def _verdicts(x: Fixtures) -> DataFrame:
+    """Some files are in a language that is known but not read."""
+    files = x.files().withColumn("path", F.when(F.col("doc_id") % 7 == 0, F.regexp_replace("path", r"\.txt$", ".astro")).otherwise(F.col("path")))
+    return lookup.verdicts(files, excludes=("*5.txt",), max_file_size=4000, languages={"txt": "text"}, subpath="")
+
+
 @query
 def skipped_verdicts(x):
-    return lookup.verdicts(x.files(), excludes=("*5.txt",), max_file_size=4000, languages={"txt": "text"}, subpath="").groupBy("verdict").agg(F.count("*").alias("n"))
+    return _verdicts(x).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
 @query
@@ -74,7 +80,7 @@ def signature_render(x):
 @query
 def scalar_functions(x):
     s = x.symbols()
-    return s.select("id", T.dir_of(F.col("path")).alias("dir"), T.stem_of(F.col("path")).alias("stem"), T.tokens(F.col("id")).alias("tokens"), T.slug(F.col("id")).alias("slug"), T.callee_base(F.col("id")).alias("base"), F.array_join(T.import_segments(F.translate("path", "/", ".")), "|").alias("segments"), F.array_join(T.terms(F.col("qualname")), "|").alias("terms"), T.oneline(F.col("id"), 20).alias("short"))
+    return s.select("id", T.dir_of(F.col("path")).alias("dir"), T.stem_of(F.col("path")).alias("stem"), T.tokens(F.col("id")).alias("tokens"), T.slug(F.col("id")).alias("slug"), T.callee_base(F.col("id")).alias("base"), F.array_join(T.import_segments(F.translate("path", "/", ".")), "|").alias("segments"), F.array_join(T.terms(F.col("qualname")), "|").alias("terms"), T.oneline(F.col("id"), 20).alias("short"), T.project_folder(F.col("id")).alias("folder"), T.strip_generics(F.concat("name", F.lit(" <T, U>"))).alias("plain"), T.strip_quotes(F.concat(F.lit("'"), "name", F.lit("'"))).alias("unquoted"))
 
 
 @query
@@ -137,7 +143,7 @@ def symbol_card(x):
 
 @query
 def file_symbols(x):
-    return x.symbols().where("path LIKE 'src/brand_1/%'").orderBy("path", "start_line", "qualname").select("path", "start_line", "qualname", "kind")
+    return lookup.file_symbols(x.symbols(), "src/brand_1/").select("path", "start_line", "qualname", "kind")
 
 
 @query
@@ -162,7 +168,7 @@ def external_uses(x):
 
 @query
 def external_grouping(x):
-    return x.external().groupBy("caller", "callee").agg(F.count("*").alias("n"), F.max("line").alias("line"))
+    return rollups.external_counts(x.external())
 
 
 @query
@@ -176,6 +182,93 @@ def target_resolution(x):
     return rank.resolve_target(x.symbols(), "mod_11.py:small_ring").select("id")
 
 
+@query
+def zero_fan_types(x):
+    """Decorated symbols stand for classes; what calls refers to them the other way round."""
+    kinds = x.symbols().withColumn("kind", F.when(F.col("decorated"), "class").otherwise(F.col("kind")))
+    return lookup.zero_fan_types(kinds, edges_of(x).where("size(lines) > 1"), _referenced(x))
+
+
+def _referenced(x: Fixtures) -> DataFrame:
+    """References run against the calls."""
+    return x.module_edges().select(F.col("callee").alias("caller"), F.col("caller").alias("callee"), "lines")
+
+
+@query
+def referenced_fallback(x):
+    return lookup.referenced_rows(x.module_edges(), edges_of(x).where("size(lines) > 1"), x.symbols())
+
+
+@query
+def minor_files(x):
+    """Files without a doc in two languages; symbols in a part of them."""
+    files = x.files().select("path", "language", F.when(F.col("language").isin("en", "fr"), F.lit(None)).otherwise(F.col("doc")).alias("doc"), F.lit(None).cast("string").alias("error"), "size")
+    return lookup.minor_files(files, files.where("size > 2000")).select("path", "language")
+
+
+@query
+def unique_anchors(x):
+    """Keys of which many have one slug."""
+    return lookup.anchors(x.symbols().select(F.concat_ws(" ", "kind", "name").alias("key"), "p_partkey"), ["p_partkey"]).select("p_partkey", "anchor")
+
+
+@query
+def section_order(x):
+    found = lookup.section_order(x.described(), x.symbols(), edges_of(x), "fan-in")
+    return budget.running(found.withColumn("dir", T.dir_of(F.col("path"))), [F.col("dir"), F.desc(F.coalesce("file_fan_in", F.lit(0))), F.col("path")], {}).select("path", "rank")
+
+
+@query
+def size_advice(x):
+    full = x.symbols().groupBy("path").agg((F.count("*") * 400).alias("full"))
+    return lookup.size_advice(full, lookup.outline(x.symbols()), 800)
+
+
+# packs
+
+
+@query
+def pack_neighbours(x):
+    near = packs.neighbours(x.symbols(), x.module_edges(), x.symbols(), 1)
+    return packs.entries(near, x.module_edges(), x.symbols()).select("target", "id", "direction", "path", "line", "signature", "degree")
+
+
+@query
+def call_site_excerpts(x):
+    near = packs.neighbours(x.symbols(), x.module_edges(), x.symbols(), 1)
+    return packs.call_sites(near, x.module_edges(), x.source_lines())
+
+
+def _packs(x: Fixtures, **options) -> DataFrame:
+    symbols, edges, imports = (graph.stored(t) for t in (x.symbols(), x.module_edges(), x.imports()))
+    return packs.packs(symbols, symbols, edges, imports, **options)
+
+
+@query
+def pack_whole(x):
+    """A pack of every symbol, with its notes."""
+    return packs.rendered(packs.trimmed(_packs(x, notes=x.notes()), None)).select("target", "tokens", F.md5("text").alias("text"))
+
+
+@query
+def pack_trim(x):
+    return packs.rendered(packs.trimmed(_packs(x), 90)).select("target", "tokens", F.md5("text").alias("text"))
+
+
+@query
+def pack_trim_source(x):
+    """Packs with the body and call sites, whose source has to go in part."""
+    return packs.rendered(packs.trimmed(_packs(x, lines=graph.stored(x.source_lines())), 60)).select("target", "tokens", F.md5("text").alias("text"))
+
+
+@query
+def pack_trim_task(x):
+    """By what a task says: neighbours that it doesn't mean go first."""
+    symbols, edges = graph.stored(x.symbols()), graph.stored(x.module_edges())
+    scores = packs.pack_scores(packs.neighbours(symbols, edges, symbols, 1), symbols, edges, TASK)
+    return packs.trimmed(_packs(x, scores=scores), 90).where("section IN ('callers', 'callees') AND position > 0").select("target", "section", "position", F.get("lines", F.lit(0)).alias("line"))
+
+
 # resolution
 
 
@@ -242,13 +335,19 @@ def ambiguous_calls(x):
 
 @fine
 def ambiguous_in(x):
-    found = resolve.invert_ambiguous(resolve.ambiguous_of(resolve.decide(_rungs(x)), x.symbols()))
-    return found.groupBy("candidate").agg(F.count("*").alias("n"))
+    return resolve.ambiguous_in(resolve.decide(_rungs(x)), x.symbols())
+
+
+@fine
+def ambiguous_owners(x):
+    return resolve.ambiguous_rows(resolve.decide(_rungs(x)), x.symbols()).select("caller", "name", "candidate")
 
 
 @fine
 def external_calls(x):
-    return resolve.external_of(resolve.decide(resolve.rungs(x.raw_calls().withColumn("name", F.when(F.col("line") % 7 == 0, "outside").otherwise(F.col("name"))), x.symbols(), x.imports(), x.symbols().select("path").distinct()))).select("caller", "callee", joined("lines"))
+    """Every seventh line calls something that no file defines."""
+    calls = x.raw_calls().withColumn("name", F.when(F.col("line") % 7 == 0, "outside").otherwise(F.col("name")))
+    return resolve.external_of(resolve.decide(resolve.rungs(*(graph.stored(t) for t in (calls, x.symbols(), x.imports())), x.symbols().select("path").distinct()))).select("caller", "callee", joined("lines"))
 
 
 # rollups
@@ -271,9 +370,9 @@ def largest_files(x):
 
 @query
 def language_mix(x):
+    """Files have one to three symbols."""
     files = x.files()
-    owned = files.where("doc_id % 3 = 0").select("path")
-    return rollups.language_mix(files, owned)
+    return rollups.language_mix(files, files.select("path", F.explode(F.sequence(F.lit(0), F.col("doc_id") % 3))))
 
 
 @query
@@ -282,8 +381,9 @@ def kind_counts(x):
 
 
 @query
-def edge_count(x):
-    return edges_of(x).agg(F.count("*").alias("edges"))
+def run_summary(x):
+    calls = graph.stored(edges_of(x))
+    return rollups.run_summary(calls, calls.where("size(lines) > 1"), x.external())
 
 
 @query
@@ -293,8 +393,7 @@ def stats_row(x):
 
 @query
 def directory_rollup(x):
-    files = x.symbols().select("path").distinct().withColumn("doc", F.lit(None).cast("string"))
-    return rollups.directories(files, x.symbols(), edges_of(x)).select("dir", "files", "symbols", "internal", "cross")
+    return rollups.directories(x.described(), x.symbols(), edges_of(x)).select("dir", "files", "symbols", "internal", "cross", "purpose")
 
 
 @query
@@ -319,7 +418,7 @@ def churn_counts(x):
 
 @query
 def churn_hotspots(x):
-    return rollups.churn_hotspots(x.commits(), x.symbols(), edges_of(x), 20, k=1_000_000).select("path", "commits", "fan_in")
+    return rollups.churn_hotspots(x.commits(), x.symbols(), edges_of(x), 20).select("path", "commits", "fan_in", "score")
 
 
 @query
@@ -344,7 +443,7 @@ def used_key_closure(x):
 
 @query
 def skip_reasons(x):
-    return x.files().groupBy("language").agg(F.count_if(F.col("size") > 4000).alias("too_large"), F.count("*").alias("files"))
+    return rollups.skip_reasons(_verdicts(x).where("verdict NOT IN ('ok', 'drop')").withColumnRenamed("verdict", "reason"))
 
 
 # changes
@@ -379,10 +478,27 @@ def cache_misses(x):
 
 @query
 def impacted_tests(x):
-    delta = change.symbol_diff(_old(x), _new(x)).where("id LIKE '%brand_2/%'")
+    delta = graph.stored(change.symbol_diff(_old(x), _new(x)))
     return change.impacted_tests(delta, edges_of(x), x.symbols(), x.imports()).select("path", "tier", F.size("symbols").alias("symbols"))
 
 
+@query
+def pytest_hint(x):
+    seed = x.symbols().where("p_partkey = 7").select("id")
+    return change.pytest_hint(change.call_impacts(seed, edges_of(x), x.symbols()))
+
+
+@query
+def symbol_diff_callers(x):
+    found = change.with_callers(change.symbol_diff(_old(x), _new(x)), edges_of(x), x.module_edges())
+    return found.select("id", "change", F.array_join(F.coalesce("callers", F.array()), ",").alias("callers"))
+
+
+@query
+def diff_lines(x):
+    return change.diff_lines(change.with_callers(change.symbol_diff(_old(x), _new(x)), edges_of(x), x.module_edges()))
+
+
 @query
 def impacted_import_tier(x):
     return change.import_hits(x.imports(), x.symbols().where("path LIKE 'src/brand_2/%'").select("path").distinct())
@@ -396,7 +512,7 @@ def symbol_impact(x):
 
 @query
 def reverse_reach(x):
-    return graph.reverse_hops(x.symbols().where("p_partkey = 7").select("id"), edges_of(x)).where("hop <= 4")
+    return graph.reverse_hops(x.symbols().where("p_partkey = 7").select("id"), edges_of(x))
 
 
 # graph
@@ -449,7 +565,7 @@ def dot_lines(x):
 
 @query
 def module_edges(x):
-    return graph.projection(edges_of(x), "dir").groupBy("src").agg(F.array_join(F.array_sort(F.collect_set("dst")), ", ").alias("targets"))
+    return rollups.module_edges(graph.projection(edges_of(x), "dir"))
 
 
 # budgets and ranking
@@ -478,7 +594,19 @@ def budget_fit_files(x):
 @query
 def meter_row(x):
     rows = _callers(x)
-    return budget.meter(budget.fit(rows, _order(), F.col("id"), 60, 50), rows, 60, 50).select("tokens", "returned", "total", "omitted", "truncated_by")
+    return budget.meter(budget.fit(rows, _order(), F.col("id"), 60, 50), rows, 60, 50).select("tokens", "returned", "total", "omitted", "truncated_by", "per_signal")
+
+
+@query
+def json_budget(x):
+    return budget.fit_json(_callers(x), _order(), ["id", "kind", "path", "start_line", "test"], 300, 50).select("id", "rank", "cost", "entry")
+
+
+@query
+def budget_all(x):
+    """Without a limit the running sum goes by ranges."""
+    rows = graph.degrees(x.symbols(), edges_of(x))
+    return budget.fit(rows, [*_order(), F.col("id")], F.col("id"), None).select("id", "rank", "cost")
 
 
 @query
@@ -500,8 +628,15 @@ def blended_rank(x):
 
 @query
 def task_files(x):
-    c = x.files().select(F.col("path").alias("id"), F.concat_ws(" ", "path", "doc").alias("text"), "path")
-    return rank.lexical(c, ("src1", "fr"), (), ()).where("raw > 0").orderBy(F.desc("raw"), "path").limit(5).select("path", (F.col("raw") * 2).cast("long").alias("raw2"))
+    files = x.files().select("path", F.concat_ws(" ", "path", "doc").alias("text"))
+    return rank.task_files(files, ("src1", "fr")).select("path", (F.col("raw") * 2).cast("long").alias("raw2"))
+
+
+@query
+def custom_scorer(x):
+    """Any function of text and path ranks."""
+    c = x.symbols().select("id", F.col("qualname").alias("text"), "path")
+    return rank.scored_by(c, lambda text, path: F.length(text) - F.length(path)).select("id", F.col("raw").cast("long").alias("raw"), F.round("score", 6).alias("score"))
 
 
 @query
@@ -515,7 +650,7 @@ def _flat_atoms(x: Fixtures) -> DataFrame:
 
 @query
 def lean_ladder_cut(x):
-    return budget.shed(_flat_atoms(x), 3000 if "0.001" not in x.dir else 700).select("id", "form")
+    return budget.shed(_flat_atoms(x), 3000).select("id", "form")
 
 
 @query
@@ -525,7 +660,32 @@ def lean_dense(x):
 
 @query
 def lean_cap(x):
-    return x.symbols().agg(F.count_distinct("path").alias("files")).withColumn("cap", F.greatest(F.least(F.lit(12000), 3000 + 12 * F.col("files")), F.lit(0)))
+    n = x.symbols().select("path").distinct().count()
+    return x.spark.createDataFrame([(n, lean.cap_of(n, 0))], "files long, cap long")
+
+
+def _lean(x: Fixtures, **options) -> tuple[DataFrame, lean.Report]:
+    symbols, edges = graph.stored(x.symbols()), graph.stored(edges_of(x))
+    return lean.lean(x.described(), rank.atoms(symbols, edges, rollups.churn(x.commits(), 20)), edges, **options)
+
+
+@query
+def lean_report(x):
+    _, report = _lean(x)
+    shown = {k: v for k, v in report.as_dict().items() if k not in ("tokens_per_signal", "tokens")}
+    return x.spark.createDataFrame([tuple(shown.values())], ", ".join(f"{k} {'boolean' if isinstance(v, bool) else 'long'}" for k, v in shown.items()))
+
+
+@query
+def lean_lines(x):
+    return _lean(x)[0].where("section <> 'diagram'")
+
+
+@query
+def lean_lines_dense(x):
+    """With room for everything: signatures of the highest scores, and nothing of what is known."""
+    seen = x.symbols().where("decorated").select("id")
+    return _lean(x, budget=10_000_000, dense=True, seen=seen)[0].where("section = 'files'")
 
 
 @query
@@ -552,7 +712,7 @@ def close_names(x):
 
 @query
 def notes_attach(x):
-    return x.symbols().join(x.notes(), F.col("id") == F.col("symbol_id")).select("id", "text")
+    return lookup.attached(x.notes(), x.symbols()).select("id", "text")
 
 
 @query
@@ -593,10 +753,19 @@ def ledger_budget(x):
 @query
 def adaptive_pointer(x):
     """Pointers a prompt gets: the best files by task that the session has not read whole."""
-    read = session.session_files(_reads(x).where("session_id = 1"), x.symbols()).where("fully_read").select("path")
+    read = session.session_files(_reads(x).where("session_id = 1"), x.symbols()).where("fully_read")
     files = x.symbols().groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("name")), " ").alias("names"))
-    c = files.select(F.col("path").alias("id"), F.concat_ws(" ", "path", "names").alias("text"), "path").join(read, "path", "left_anti")
-    return rank.lexical(c, ("red", "widget", "17")).where("raw > 0").orderBy(F.desc("raw"), "path").limit(5).select("path", (F.col("raw") * 2).cast("long").alias("raw2"))
+    return rank.task_files(files.select("path", F.concat_ws(" ", "path", "names").alias("text")), ("red", "widget", "17"), seen=read).select("path", (F.col("raw") * 2).cast("long").alias("raw2"))
+
+
+@query
+def ledger_totals(x):
+    return session.totals(x.transcript(), _reads(x), x.symbols())
+
+
+@query
+def ledger_top_files(x):
+    return session.session_files(_reads(x), x.symbols(), k=2)
 
 
 # extras: windows over commits
@@ -604,12 +773,12 @@ def adaptive_pointer(x):
 
 @query
 def churn_tumbling(x):
-    return x.commits().groupBy(F.window("ts", "7 days").alias("w"), "path").agg(F.count("*").alias("commits")).select(F.col("w.start").alias("week"), "path", "commits")
+    return rollups.churn_windows(x.commits())
 
 
 @query
 def churn_session(x):
-    return x.commits().groupBy(F.session_window("ts", "1 day").alias("w"), "path").agg(F.count("*").alias("commits")).select(F.col("w.start").alias("start"), "path", "commits")
+    return rollups.churn_sessions(x.commits())
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

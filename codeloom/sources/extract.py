@@ -8,8 +8,10 @@ but unusual layouts may be missed. ``register`` adds a language or replaces its
 from __future__ import annotations
 
 import ast
+import heapq
 import re
 from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -120,6 +122,9 @@ def python(path: str, text: str) -> dict:
 # Other languages: patterns over text whose strings and comments are blanked
 
 
+CALL = r"(?:\bnew\s+)?([A-Za-z_$][\w$]*(?:\s*(?:\.|::|->|\?\.)\s*[A-Za-z_$][\w$]*)*)\s*(?:::<[^>()]*>|<[\w\s,]+>)?\("
+
+
 @dataclass(frozen=True)
 class Patterns:
     """``defs``: (kind, pattern with a group name, params and owner where there are any); ``types`` open containers."""
@@ -130,13 +135,14 @@ class Patterns:
     style: str = "c"
     exported: str = r"(?!)"
     refs: bool = False
-    ruby_ends: bool = False
+    ends: str = "brace"
+    call: str = CALL
 
 
 STRINGS = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`'
 CONTROL = frozenset("if for while switch catch return else do match loop select".split())
-KEYWORDS = frozenset("import if for while switch catch return sizeof match fn func function new await typeof else do class def elif unless until when super loop move in not and or assert yield throw raise delete defer go select case".split())
-CALL = re.compile(r"(?:\bnew\s+)?([A-Za-z_$][\w$]*(?:\s*(?:\.|::|->|\?\.)\s*[A-Za-z_$][\w$]*)*)\s*(?:::<[^>()]*>|<[\w\s,]+>)?\(")
+KEYWORDS = frozenset("import if for while switch catch return sizeof match fn func function new await typeof else do class def elif unless until when super loop move in not and or assert yield throw raise delete defer go select case defn defun define defmodule cond let lambda ns".split())
+BRACKET_CALL = r"\(\s*([A-Za-z_][\w.!?*-]*)"
 
 
 def blanked(text: str, comment: str) -> str:
@@ -158,14 +164,36 @@ def closing(text: str, start: int) -> int:
     return len(text)
 
 
-def ruby_end(text: str, start: int) -> int:
-    """The "end" on the indentation of the definition."""
+def indent_of(text: str, start: int) -> str:
     line = text.rfind("\n", 0, start) + 1
-    indent = re.match(r"[ \t]*", text[line:])[0]
-    m = re.compile(rf"^{indent}end\b", re.M).search(text, start)
+    return re.compile(r"[ \t]*").match(text, line)[0]
+
+
+def ruby_end(text: str, start: int, after: int) -> int:
+    """The "end" on the indentation of the definition."""
+    m = re.compile(rf"^{indent_of(text, start)}end\b", re.M | re.I).search(text, start)
     return m.end() if m else len(text)
 
 
+def indented_end(text: str, start: int, after: int) -> int:
+    """Before the next line that isn't indented further than the definition."""
+    m = re.compile(rf"\n(?=[ \t]{{0,{len(indent_of(text, start))}}}\S)").search(text, after)
+    return m.start() if m else len(text)
+
+
+def bracket_end(text: str, start: int, after: int) -> int:
+    """The bracket that closes the one before the definition's keyword."""
+    depth, at = 0, text.rfind("(", 0, start + 1)
+    for m in re.compile(r"[()]").finditer(text, max(at, 0)):
+        depth += 1 if m[0] == "(" else -1
+        if depth <= 0:
+            return m.start()
+    return len(text)
+
+
+ENDS = {"brace": lambda text, start, after: closing(text, after), "end": ruby_end, "indent": indented_end, "bracket": bracket_end}
+
+
 def parameters(text: str, style: str) -> list[dict]:
     out = []
     for part in re.split(r",(?![^<(\[]*[>)\]])", text):
@@ -198,6 +226,28 @@ def doc_above(text: str, start: int, mark: str) -> str | None:
     return found
 
 
+def owners(spans: list[tuple[int, int, str]]) -> Callable[[int], str | None]:
+    """Which of the spans (start, end, name) holds a place: the shortest. The spans' ends cut the text into stretches, each
+    of which has one owner, so a place is looked up by a binary search."""
+    ends = sorted({x for s, e, _ in spans for x in (s, e + 1)})
+    starting: dict[int, list] = defaultdict(list)
+    for s, e, name in spans:
+        starting[s].append((e - s, e, name))
+    held, names = [], []  # held: a heap of the spans that are open, the shortest first
+    for at in ends:
+        for x in starting[at]:
+            heapq.heappush(held, x)
+        while held and held[0][1] < at:
+            heapq.heappop(held)
+        names.append(held[0][2] if held else None)
+
+    def owner(at: int) -> str | None:
+        i = bisect_right(ends, at) - 1
+        return names[i] if i >= 0 else None
+
+    return owner
+
+
 def scanner(rules: Patterns) -> Callable[[str, str], dict]:
     compiled = [(kind, re.compile(p, re.M)) for kind, p in rules.defs]
 
@@ -205,7 +255,7 @@ def scanner(rules: Patterns) -> Callable[[str, str], dict]:
         out, code = Collected(path), blanked(text, rules.comment)
         starts = [0, *(m.end() for m in re.finditer("\n", text))]
         line = lambda at: bisect_right(starts, at)
-        mark = r"#" if rules.ruby_ends else r"//[/!]?|/\*+!?|\*(?!/)"
+        mark = r"//[/!]?|/\*+!?|\*(?!/)" if rules.comment.startswith("//") else "#+|--+|%+|;+|'|\"|!"
         head = re.match(rf"(?:#![^\n]*\n)?\s*(?:{mark})\s*([^\n]*)", text)
         out.doc = short(head[1].removesuffix("*/")) if head else None
         spans: dict[int, tuple] = {}
@@ -214,7 +264,7 @@ def scanner(rules: Patterns) -> Callable[[str, str], dict]:
                 g = m.groupdict()
                 if g["name"] in CONTROL or m.start("name") in spans:
                     continue
-                end = ruby_end(code, m.start()) if rules.ruby_ends else closing(code, m.end("params") if g.get("params") is not None else m.end("name"))
+                end = ENDS[rules.ends](code, m.start(), m.end("params") if g.get("params") is not None else m.end("name"))
                 spans[m.start("name")] = (m.start(), end, kind, g, m)
         open_spans, placed = [], []
         for at in sorted(spans, key=lambda a: (spans[a][0], -spans[a][1])):
@@ -224,7 +274,7 @@ def scanner(rules: Patterns) -> Callable[[str, str], dict]:
             containers, makes_method = [o[3] for o in holders], any(o[2] != "namespace" for o in holders)
             name = g["name"]
             if g.get("owner"):
-                containers, makes_method = [*containers, *re.split(r"::", g["owner"])], True
+                containers, makes_method = [*containers, *re.split(r"::|[.:]", g["owner"])], True
             open_spans.append((at, end, kind, name))
             if kind in ("impl", "namespace"):
                 continue
@@ -234,8 +284,8 @@ def scanner(rules: Patterns) -> Callable[[str, str], dict]:
             here = out.add(name, containers, real, line(at), line(min(end, max(len(text) - 1, 0))), params=params, returns=" ".join(g["returns"].split()) if g.get("returns") else None, exported=bool(re.search(rules.exported, m[0])), decorated=bool(re.search(r"^\s*(?:@|#\[)\S[^\n]*\s*$", text[:start].rstrip("\n").rsplit("\n", 1)[-1])) if start else False, doc=short(above))
             if kind in ("function",):
                 placed.append((at, end, here))
-        owner = lambda at: min(((e - s, i) for s, e, i in placed if s <= at <= e), default=(0, None))[1]
-        for m in CALL.finditer(code):
+        owner = owners(placed)
+        for m in re.finditer(rules.call, code):
             name = re.sub(r"\s+|\?", "", m[1])
             last = re.split(r"::|->|\.", name)[-1]
             if (last != name or last not in KEYWORDS) and m.end(1) - len(last) not in spans:
@@ -321,10 +371,43 @@ LANGUAGES: list[Language] = [
     Language("tsx", ("tsx",), scanner(Patterns(JS_DEFS, js_imports, style="ts", exported=r"\bexport\b", refs=True))),
     Language("go", ("go",), scanner(Patterns((*((k, rf"^[ \t]*type\s+{NAME}\s+{k}\b") for k in ("struct", "interface")), ("function", rf"^func\s+(?:\(\s*\w*\s*\*?(?P<owner>\w+)[^)]*\)\s*)?{NAME}{PARAMS}(?P<returns>[^{{\n]*)(?=\{{)")), go_imports, style="go"))),
     Language("java", ("java",), scanner(Patterns((*((k, rf"^[ \t]*(?:(?:public|private|protected|static|final|abstract)\s+)*{k}\s+{NAME}") for k in ("class", "interface", "enum", "record")), ("function", rf"^[ \t]+(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)*(?:(?P<returns>[\w<>\[\], ?]+)\s+)?{NAME}{PARAMS}\s*(?:throws [\w, ]+)?(?=\{{|;)")), last_part(r"^\s*import\s+(?:static\s+)?(?P<source>[\w.]+)\s*;"), exported=r"(?!)"))),
-    Language("ruby", ("rb",), scanner(Patterns((("class", rf"^[ \t]*class\s+{NAME}"), ("namespace", rf"^[ \t]*module\s+{NAME}"), ("function", rf"^[ \t]*def\s+(?:self\.)?{NAME}[?!]?(?:{PARAMS})?")), lambda text: [], comment=r"#[^\n]*", style="plain", ruby_ends=True))),
+    Language("ruby", ("rb", "rake"), scanner(Patterns((("class", rf"^[ \t]*class\s+{NAME}"), ("namespace", rf"^[ \t]*module\s+{NAME}"), ("function", rf"^[ \t]*def\s+(?:self\.)?{NAME}[?!]?(?:{PARAMS})?")), lambda text: [], comment=r"#[^\n]*", style="plain", ends="end"))),
 ]
 
 
+# Languages that are read by general rules, by how a definition ends, and their suffixes.
+GENERIC = {
+    "brace": {
+        "php": ("php",), "csharp": ("cs",), "kotlin": ("kt", "kts"), "swift": ("swift",), "scala": ("scala", "sc"), "perl": ("pl", "pm"), "r": ("r",), "dart": ("dart",), "zig": ("zig",), "gleam": ("gleam",), "groovy": ("groovy", "gradle"),
+        "solidity": ("sol",), "bash": ("sh", "bash", "zsh"), "powershell": ("ps1",), "tcl": ("tcl",), "d": ("d",), "hare": ("ha",), "odin": ("odin",), "haxe": ("hx",), "nix": ("nix",), "vue": ("vue",), "svelte": ("svelte",),
+    },
+    "end": {"lua": ("lua",), "julia": ("jl",), "elixir": ("ex", "exs"), "fortran": ("f90", "f95"), "pascal": ("pas",), "ada": ("adb", "ads"), "crystal": ("cr",), "vim": ("vim",), "cmake": ("cmake",)},
+    "indent": {"haskell": ("hs",), "erlang": ("erl", "hrl"), "ocaml": ("ml",), "ocaml_interface": ("mli",), "nim": ("nim",), "sql": ("sql",), "elm": ("elm",), "fsharp": ("fs",), "gdscript": ("gd",), "mojo": ("mojo",), "starlark": ("bzl",)},
+    "bracket": {"clojure": ("clj",), "racket": ("rkt",), "scheme": ("scm",), "commonlisp": ("lisp",), "elisp": ("el",)},
+}
+WORDS_BEFORE = r"^[ \t(]*(?:(?:pub|public|private|protected|internal|static|final|abstract|async|override|open|local|export|inline|virtual|recursive|pure|sealed|data|create|or replace)\s+)*"
+SYMBOL = r"(?:(?P<owner>[A-Za-z_]\w*(?:[.:]+[A-Za-z_]\w*)*?)(?:::|[.:]))?(?P<name>[A-Za-z_][\w?!'-]*)"
+PLAIN = r"(?P<name>[A-Za-z_][\w.-]*)"
+
+
+def generic(ends: str) -> Callable[[str, str], dict]:
+    """An extractor by words that most languages share: what follows one that means a type or a function is defined. Where
+    functions have no word, a name at the margin with parameters and a sign of a body defines one."""
+    word = "-?" if ends == "bracket" else ""
+    types = tuple((kind, rf"{WORDS_BEFORE}(?:{w})\s+{PLAIN}") for kind, w in (("interface", "interface|protocol"), ("struct", "struct|record"), ("trait", "trait"), ("class", "class|module|object|enum|contract|defmodule|namespace|impl")))
+    functions = [("function", rf"{WORDS_BEFORE}(?:function|func|fun|fn|def{word}|defp|defn-?|defun|define|sub|proc|procedure|subroutine|method|macro)(?![\w-])!?\s*\(?\s*{SYMBOL}(?:{PARAMS})?")]
+    if ends == "brace":
+        functions.append(("function", rf"{WORDS_BEFORE}(?:[\w<>\[\]?,.]+\s+)+{NAME}{PARAMS}\s*(?=\{{)"))
+        functions.append(("function", r"^[ \t]*(?P<name>[A-Za-z_][\w-]*)\s*\((?P<params>)\)\s*(?=\{)"))
+    if ends == "indent":
+        functions.append(("function", r"^(?P<name>[a-z_]\w*)(?:\((?P<params>[^()\n]*)\))?[^=:\n]*(?:->|(?<![:=])=(?!=))"))
+    comment = r"//[^\n]*|/\*.*?\*/|(?<!\S)#[^\n]*" if ends == "brace" else r"(?<!\S)(?:#|--|%|;|!)[^\n]*"
+    return scanner(Patterns((*types, *functions), last_part(r"^\s*(?:use|using|import|require|include|open|source|from)\s+[(\"']?(?P<source>[\w./:\\]+)"), comment=comment, style="plain", ends=ends, call=BRACKET_CALL if ends == "bracket" else CALL))
+
+
+LANGUAGES += [Language(name, suffixes, generic(ends)) for ends, group in GENERIC.items() for name, suffixes in group.items()]
+
+
 def register(language: Language) -> None:
     """Add a language, or replace the one of its name."""
     LANGUAGES[:] = [x for x in LANGUAGES if x.name != language.name] + [language]
@@ -343,7 +426,7 @@ def extract_file(path: str, data: bytes) -> dict:
     row = {"path": path, "language": language.name if language else None, "error": None, "doc": None, "content_hash": hashlib.sha256(data).hexdigest()[:16], "symbols": [], "calls": [], "refs": [], "imports": []}
     try:
         found = language.extract(path, data.decode("utf-8", "replace")) if language else {}
-    except (ValueError, SyntaxError, RecursionError) as e:
+    except Exception as e:  # noqa: BLE001  whatever a file holds, it is a row
         return row | {"error": f"{type(e).__name__}: {e}"[:200]}
     return row | {k: found[k] for k in ("doc", "symbols", "calls", "refs", "imports") if k in found}
 
@@ -378,3 +461,21 @@ def tables(maps: DataFrame) -> dict[str, DataFrame]:
         "raw_refs": maps.select("path", F.explode("refs").alias("r")).select("path", "r.*").withColumn("receiver", F.lit(None).cast("string")),
         "imports": maps.select("path", F.posexplode("imports").alias("ordinal", "i")).select("path", "i.*", "ordinal"),
     }
+
+
+def source_lines(files: DataFrame, root: str | None = None) -> DataFrame:
+    """(path, line, text) of ``files``: (path, content), or (path) read below ``root`` by the executors. Bytes that are no
+    UTF-8 are replaced; files that can't be read have no lines."""
+    if "content" not in files.columns:
+        from codeloom.sources.discover import contents
+
+        files = contents(files, root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("line", pa.int32()), ("text", pa.string())])
+        for batch in batches:
+            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                lines = (data or b"").decode("utf-8", "replace").splitlines()
+                yield pa.RecordBatch.from_pydict({"path": [path] * len(lines), "line": range(1, len(lines) + 1), "text": lines}, schema=schema)
+
+    return files.select("path", "content").mapInArrow(run, "path string, line int, text string")

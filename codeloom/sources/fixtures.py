@@ -47,6 +47,22 @@ class Fixtures:
     def raw_edges(self) -> DataFrame:
         return self.named_pairs().where("src <> dst").select(F.col("src_id").alias("caller"), F.col("dst_id").alias("callee"), "line")
 
+    def module_edges(self) -> DataFrame:
+        """Edges of which some come from the top level of a file."""
+        caller = F.when(F.col("line") % 50 != 0, F.col("src_id")).otherwise(F.concat("src_path", F.lit(MODULE)))
+        found = self.named_pairs().select(caller.alias("caller"), F.col("dst_id").alias("callee"), "line").where("caller <> callee")
+        return found.groupBy("caller", "callee").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+
+    def described(self) -> DataFrame:
+        """Files of the symbols, with a doc."""
+        s = self.symbols().select("path").distinct()
+        return s.select("path", F.lit("python").alias("language"), F.concat(F.lit("Handles "), "path", F.lit(" and whatever else belongs to it in the folder of its brand")).alias("doc"))
+
+    def source_lines(self) -> DataFrame:
+        """Lines 1 to 500 of every file."""
+        s = self.symbols().select("path").distinct()
+        return s.select("path", F.explode(F.sequence(F.lit(1), F.lit(500))).alias("line")).withColumn("text", F.concat(F.lit("    line "), F.col("line").cast("string")))
+
     def imports(self) -> DataFrame:
         dotted = F.translate(F.regexp_replace("dst_path", r"\.py$", ""), "/", ".")
         d = self.named_pairs().where("l_discount >= 0.05").select(F.col("src_path").alias("path"), F.col("dst_name").alias("name"), F.concat(dotted, F.lit("."), F.col("dst_name")).alias("source")).distinct()

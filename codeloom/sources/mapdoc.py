@@ -31,6 +31,19 @@ def git_commit(root: str) -> str | None:
         return None
 
 
+def provenance(folder: str) -> dict | None:
+    """What a folder's map was made from; None if there is none that can be read."""
+    try:
+        return json.loads(Path(folder, "provenance.json").read_text())
+    except (OSError, ValueError):
+        return None
+
+
+def stamps(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content_hash, stat) of the files of a map."""
+    return spark.read.schema("path string, content_hash string, stat array<bigint>").parquet(f"{folder}/stamps")
+
+
 def save(tables: dict[str, DataFrame], folder: str) -> None:
     """One Parquet folder per table."""
     for name, df in tables.items():
@@ -113,6 +126,15 @@ class Notes:
         self._save(notes)
         return len(own) - len(keep)
 
+    def prune(self, known: set[str]) -> int:
+        """Remove the notes on symbols that aren't known any more; how many notes went."""
+        notes = self._all()
+        gone = [k for k in notes if k not in known]
+        n = sum(len(notes.pop(k)) for k in gone)
+        if gone:
+            self._save(notes)
+        return n
+
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(k, i, n["text"], datetime.datetime.fromisoformat(n["created"])) for k, v in self._all().items() for i, n in enumerate(v, 1)]
         return spark.createDataFrame(rows, schemas.schema("notes"))

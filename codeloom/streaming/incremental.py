@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from codeloom.operators import change
 from codeloom.schemas import FILE_MAP
 from codeloom.sources.extract import extract
+from codeloom.sources.mapdoc import spec_hash
 
 
 def update(spark: SparkSession, cache_dir: str, files: DataFrame, version: int) -> dict[str, int]:
     """Extract those of ``files`` (path, content) that the cache lacks, and write version ``version`` of it.
 
     The cache keeps one row per path; versions are folders, so a reader never sees half of one, and a batch that runs
-    again writes the same folder. Returns counts of reused and extracted files; a batch without changes writes nothing.
+    again writes the same folder. Rows of another extractor (``mapdoc.spec_hash``) are never served: each has a cache of
+    its own. Returns counts of reused and extracted files; a batch without changes writes nothing.
     """
+    cache_dir = f"{cache_dir}/spec={spec_hash()}"
     latest = _latest(spark, cache_dir, version)
     now = files.withColumn("content_hash", F.substring(F.sha2("content", 256), 1, 16))
     misses = now if latest is None else change.cache_misses(now, latest)

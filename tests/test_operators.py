@@ -110,3 +110,63 @@ def test_sessions_batch_and_stream(world, spark, tmp_path):
     q.stop()
     live = spark.table("totals").first()
     assert (live["turns"], live["usage"], live["files"]) == (2, 100, ["src/a.py", "src/b.py"])
+
+
+def test_long_call_chains(spark):
+    """Paths and reach of any length: 70 calls in a row."""
+    ids = [f"a.py::f{i:03d}" for i in range(71)]
+    edges = spark.createDataFrame([(a, b, [1]) for a, b in zip(ids, ids[1:], strict=False)], "caller string, callee string, lines array<int>")
+    symbols = spark.createDataFrame([(i,) for i in ids], "id string")
+    path = graph.shortest_paths(edges, symbols, ids[0], ids[-1]).collect()
+    assert [(r["length"], r["path"]) for r in path] == [(70, ids)]
+    hops = {r["id"]: r["hop"] for r in graph.reverse_hops(symbols.where(F.col("id") == ids[-1]), edges).collect()}
+    assert hops == {x: 70 - i for i, x in enumerate(ids)}
+
+
+def test_risk_is_by_the_highest_fan_in_of_all_files(spark):
+    import datetime
+
+    now = datetime.datetime(2024, 1, 1)
+    commits = spark.createDataFrame([("1", "b.py", now), ("2", "b.py", now)], "commit_id string, path string, ts timestamp")
+    symbols = spark.createDataFrame([("a.py::f", "a.py"), ("b.py::g", "b.py")], "id string, path string")
+    edges = spark.createDataFrame([(f"c{i}.py::x", "a.py::f", [1]) for i in range(7)] + [(f"c{i}.py::x", "b.py::g", [1]) for i in range(2)], "caller string, callee string, lines array<int>")
+    assert [tuple(r) for r in rollups.churn_hotspots(commits, symbols, edges).select("path", "commits", "fan_in", "score").collect()] == [("b.py", 2, 2, 0.6)]
+
+
+def test_anchors_are_unique(spark):
+    keys = ["a b", "A-b", "a b 2", "a_b", "a b 3", "a.b", "!!", "??", "a b 2 2"]
+    found = lookup.anchors(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key string, n int"), ["n"]).collect()
+    assert len({r["anchor"] for r in found}) == len(keys) and {r["key"]: r["anchor"] for r in found}["a b"] == "a-b"
+
+
+def test_running_sums_by_ranges(spark):
+    rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"), (F.col("id") % 13).alias("v")).repartition(7)
+    found = sorted((r["k"], r["rank"], r["before"]) for r in budget.running(rows, [F.col("k")], {"before": F.col("v")}).collect())
+    values = {(i * 7919) % 1000: i % 13 for i in range(1000)}
+    assert found == [(k, k + 1, sum(values[j] for j in range(k))) for k in range(1000)]
+    assert budget.running(rows.limit(0), [F.col("k")], {"before": F.col("v")}).isEmpty()
+
+
+def test_terms(spark):
+    cases = {"getHTTPResponse_code": ["get", "http", "response", "code"], "parseXML2JSON": ["parse", "xml", "json"], "A1b utf8Text": ["a1b", "utf8", "text"], "theURLs of ID7x": ["ur", "ls", "id", "7x"]}
+    for text, want in cases.items():
+        assert spark.range(1).select(T.terms(F.lit(text))).first()[0] == want
+
+
+def test_token_counter_by_ranks(spark):
+    P = pytest.importorskip("public_tokenizers")
+    count = T.bpe_tokens(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert [r[0] for r in spark.createDataFrame([("def run(a):",), ("",), (None,)], "t string").select(count("t")).collect()] == [len(T._encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).encode_ordinary("def run(a):")), 0, 0]
+
+
+def test_transcripts_are_found(tmp_path):
+    folder = tmp_path / "projects" / "-home-me-repo"
+    folder.mkdir(parents=True)
+    (folder / "one.jsonl").write_text("{}")
+    assert session.find_transcript(str(tmp_path / "projects"), "/home/me/repo").endswith("one.jsonl")
+    assert session.find_transcript(str(tmp_path / "projects"), "/home/me/repo", "two") is None and session.find_transcript(str(tmp_path / "projects"), "/none") is None
+
+
+def test_same_paths(spark):
+    a, b = (spark.createDataFrame([(x,) for x in p], "path string") for p in (["x", "y", "x"], ["y", "x"]))
+    assert change.same_paths(a, b) and not change.same_paths(a, b.limit(1))

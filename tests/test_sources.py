@@ -1,11 +1,12 @@
 """Extraction, discovery, map documents, incremental updates and the API on small trees."""
 
+import json
 import subprocess
 
 import pytest
 
 from codeloom.api import CodeMap
-from codeloom.sources import extract, mapdoc
+from codeloom.sources import discover, extract, mapdoc
 from codeloom.streaming.incremental import sink
 
 PY = '"""Util."""\nfrom .b import helper as h\n\n\n@dec\ndef run(a: int, *b) -> str:\n    """Runs."""\n    return h(a)\n\n\nclass K:\n    def m(self):\n        self.n()\n\n    def n(self):\n        pass\n'
@@ -37,6 +38,55 @@ def test_languages(path):
     assert sorted(s["qualname"] for s in m["symbols"]) == sorted(symbols) and [i["name"] for i in m["imports"]] == imports
 
 
+GENERIC = {
+    "a.lua": ("-- Makes one.\nfunction M.new(a, b)\n  return setup(a)\nend\nfunction Store:put(key)\n  M.new(key, 1)\nend\n", ["M.new", "Store.put"], [("Store.put", "new")]),
+    "a.php": ("<?php\nclass Store {\n  public function put($k) { return norm($k); }\n}\nfunction norm($x) { return $x; }\n", ["Store", "Store.put", "norm"], [("Store.put", "norm")]),
+    "a.kt": ("class Store(val x: Int) {\n  fun put(k: String): Int {\n    return norm(k)\n  }\n}\nfun norm(k: String) = k\n", ["Store", "Store.put", "norm"], [("Store.put", "norm")]),
+    "a.clj": ("(defn norm [x] (inc x))\n(defn put [k]\n  (norm k))\n", ["norm", "put"], [("put", "norm")]),
+    "a.ex": ("defmodule Store do\n  def put(k, v) do\n    norm(k)\n  end\n  defp norm(x), do: x\nend\n", ["Store", "Store.put", "Store.norm"], [("Store.put", "norm")]),
+    "a.sh": ("norm() {\n  echo $1\n}\nfunction put {\n  norm a\n}\n", ["norm", "put"], []),
+    "a.gd": ("func put(k):\n\tnorm(k)\nfunc norm(x):\n\treturn x\n", ["put", "norm"], [("put", "norm")]),
+}
+
+
+@pytest.mark.parametrize("path", GENERIC)
+def test_generic_languages(path):
+    text, symbols, calls = GENERIC[path]
+    m = extract.extract_file(path, text.encode())
+    assert m["error"] is None and sorted(s["qualname"] for s in m["symbols"]) == sorted(symbols)
+    made = {((c["caller_id"] or "").split("::")[-1], c["name"]) for c in m["calls"]}
+    assert set(calls) <= made
+
+
+def test_owners_are_the_shortest_spans():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(50):
+        spans = []
+        for i in range(rng.randrange(8)):
+            a = rng.randrange(60)
+            spans.append((a, a + rng.randrange(1, 30), f"s{i}"))
+        owner = extract.owners(spans)
+        for at in range(100):
+            assert owner(at) == min(((e - s, e, n) for s, e, n in spans if s <= at <= e), default=(0, 0, None))[2]
+
+
+def test_ignore_files(spark, tmp_path):
+    """The last rule that matches decides, rules of inner folders count there, and known languages without a parser are
+    reported."""
+    for name in ("a.py", "gen/b.py", "gen/keep.py", "sub/c.py", "sub/d.py", "sub/deep/d.py", "page.astro", "notes.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x = 1\n")
+    (tmp_path / ".gitignore").write_text("# made\ngen/*\n!gen/keep.py\n")
+    (tmp_path / "sub/.gitignore").write_text("/d.py\n")
+    assert [f for f in sorted(discover.walk_files(tmp_path)) if f.endswith(".py")] == ["a.py", "gen/keep.py", "sub/c.py", "sub/deep/d.py"]
+    assert discover.remember_ignored(str(tmp_path), ["sub/*", "!sub/c.py", "sub/*"]) == ["sub/*", "!sub/c.py"] and discover.remember_ignored(str(tmp_path), ["sub/*"]) == []
+    files, skipped = discover.discover(spark, str(tmp_path))
+    assert {r["path"] for r in files.collect()} == {"a.py", "gen/keep.py", "sub/c.py"}
+    assert {(r["path"], r["reason"]) for r in skipped.collect()} == {("page.astro", "no parser (astro)"), ("sub/deep/d.py", "ignored"), ("sub/.gitignore", "ignored")}
+
+
 def test_map_of_a_repository(spark, tmp_path):
     root, out = tmp_path / "repo", str(tmp_path / "map")
     (root / "pkg").mkdir(parents=True)
@@ -54,6 +104,27 @@ def test_map_of_a_repository(spark, tmp_path):
     assert m.trace("test_run", "helper").first()["path"] == ["tests/test_a.py::test_run", "pkg/a.py::run", "pkg/b.py::helper"]
     assert m.status().isEmpty() and m.symbol("K.m").first()["fan_out"] == 1
     assert {r["path"] for r in m.t["files"].collect()} == {"pkg/__init__.py", "pkg/a.py", "pkg/b.py", "tests/test_a.py"}
+    written = (tmp_path / "map/provenance.json").stat().st_mtime_ns
+    CodeMap.build(spark, str(root), out)  # nothing changed: nothing is written
+    assert (tmp_path / "map/provenance.json").stat().st_mtime_ns == written and mapdoc.provenance(out)["extracted"] == 4
+    pack = m.context("run", source=True)
+    assert pack.split("\n")[0] == "context: pkg/a.py:run" and "  note" not in pack and "callers:" in pack and "tests/test_a.py:4  test_run()" in pack and "> 5: run(1)" in pack
+    assert "source:" in pack and "return h(a)" in pack and m.context("run", tokens=1).count("\n") >= 2 and "callers:" not in m.context("run", tokens=1)
+    of_file = m.context("pkg/b.py")
+    assert of_file.startswith("context: pkg/b.py\nsymbols:\n") and "[1] pkg/a.py:6" in of_file
+    document, report = m.lean()
+    assert document.startswith("lean map · ~") and "pkg/" in document and "    helper(x)" in document and report.tokens <= report.cap
+    small, shed = m.lean(tokens=1)
+    assert shed.floored and shed.demotable_collapsed and "recover" in small and "helper" not in small
+    assert m.orient(tokens=100_000).where("section = 'coverage'").first()["line"].startswith("4 files") and m.advise("pkg/b.py") is None and "tokens" in m.advise("pkg/b.py", threshold=1)
+    assert m.coverage_note() is None and m.html(str(tmp_path / "map.html")) > 1000
+    page = (tmp_path / "map.html").read_text()
+    data = json.loads(page.split('id="data">')[1].split("</script>")[0])
+    assert {s["id"] for s in data} == {r["id"] for r in m.t["symbols"].collect()}
+    with pytest.raises(ValueError, match="more than 10"):
+        m.html(str(tmp_path / "none.html"), most=10)
+    assert not (tmp_path / "none.html").exists()
+    assert {r["tier"] for r in m.workset("helper").collect()} >= {0, 1, 2}
     (root / "pkg/b.py").write_text("def helper(x):\n    return x + 1\n")
     assert [(r["path"], r["change"]) for r in m.status().collect()] == [("pkg/b.py", "changed")]
     assert [(r["id"], r["change"]) for r in m.diff("HEAD").collect()] == [("pkg/b.py::helper", "changed")]
@@ -69,7 +140,14 @@ def test_map_of_a_repository(spark, tmp_path):
     assert notes.remove("pkg/b.py::helper", 1) == 1 and [r["text"] for r in notes.table(spark).collect()] == ["old"]
     assert "n0 --> n1" in m.export() or "n1 --> n0" in m.export()
     m.markdown(str(tmp_path / "map.md"))
-    assert "## pkg/a.py" in (tmp_path / "map.md").read_text()
+    text = (tmp_path / "map.md").read_text()
+    assert "## pkg/a.py" in text and "- [pkg/a.py](#pkg-a-py)" in text and '<a id="pkg-a-py"></a>' in text and text.count("Also there: pkg/__init__.py") == 1
+    m.markdown(str(tmp_path / "index.md"), order="fan-in", shards="pages")
+    assert len(list((tmp_path / "pages").glob("*.md"))) == 2 and "(pages/pkg-" in (tmp_path / "index.md").read_text()
+    again = CodeMap.build(spark, str(root), out)  # one file is extracted anew
+    assert mapdoc.provenance(out)["extracted"] == 1 and again.status().isEmpty() and again.t["symbols"].count() == 6
+    assert notes.prune({"pkg/a.py::run"}) == 1 and notes.table(spark).isEmpty()
+    assert [r["line"] for r in m.diff_lines("HEAD").collect()] == ["~ pkg/b.py::helper  <- pkg/a.py::run"] and m.workset(rev="HEAD").count() > 2
 
 
 def test_incremental_batches(spark, tmp_path):
@@ -79,3 +157,13 @@ def test_incremental_batches(spark, tmp_path):
     write(files(a="def f(): pass", b="x = 1"), 1)
     write(files(a="def g(): pass", c="y = 1"), 2)
     assert seen == [{"reused": 0, "extracted": 2}, {"reused": 2, "extracted": 0}, {"reused": 0, "extracted": 2}]
+
+
+def test_another_extractor_has_a_cache_of_its_own(spark, tmp_path, monkeypatch):
+    from codeloom.streaming import incremental
+
+    files = spark.createDataFrame([("a.py", b"def f(): pass")], "path string, content binary")
+    assert incremental.update(spark, str(tmp_path), files, 1) == {"reused": 0, "extracted": 1}
+    assert incremental.update(spark, str(tmp_path), files, 2) == {"reused": 1, "extracted": 0}
+    monkeypatch.setattr(incremental, "spec_hash", lambda: "other")
+    assert incremental.update(spark, str(tmp_path), files, 3) == {"reused": 0, "extracted": 1}
