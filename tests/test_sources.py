@@ -147,7 +147,7 @@ def test_map_of_a_repository(spark, tmp_path):
     again = CodeMap.build(spark, str(root), out)  # one file is extracted anew
     assert mapdoc.provenance(out)["extracted"] == 1 and again.status().isEmpty() and again.t["symbols"].count() == 6
     assert notes.prune({"pkg/a.py::run"}) == 1 and notes.table(spark).isEmpty()
-    assert [r["line"] for r in m.diff_lines("HEAD").collect()] == ["~ pkg/b.py::helper  <- pkg/a.py::run"] and m.workset(rev="HEAD").count() > 2
+    assert [r["line"] for r in again.diff_lines("HEAD").collect()] == ["~ pkg/b.py::helper  <- pkg/a.py::run"] and again.workset(rev="HEAD").count() > 2
 
 
 def test_incremental_batches(spark, tmp_path):
