@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import SELF_NAMES, TYPE_NOISE, import_segments, path_parts, stem_of
+from codeloom.operators.graph import stored
 from codeloom.schemas import MODULE, TYPE_KINDS
 
 
@@ -70,20 +71,24 @@ def rungs(raw: DataFrame, symbols: DataFrame, imports: DataFrame, files: DataFra
     in_file = _counted(symbols, ["path", "name", "qualname"], "n_container", "container_id").withColumnRenamed("qualname", "container_qualname")
     calls = calls.withColumn("container_qualname", container).join(in_file, ["path", "name", "container_qualname"], "left")
 
+    # what the name's own import may stand for, if nothing is called so
+    calls = calls.withColumn("original", F.when(F.col("n_candidates").isNull(), F.element_at(path_parts(F.col("own_source")), -1)))
+    calls = stored(calls)  # the rungs below read it several times: its joins are made once
+
     # the type of the caller's parameter that the receiver names: its tokens in order
     kind = F.get(F.filter("caller_params", lambda p: (p["name"] == F.col("head")) & (p["type"] != "")), F.lit(0))["type"]
-    types = calls.select("call", "name", F.posexplode(F.regexp_extract_all(kind, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("at", "token")).where(~F.col("token").isin(*TYPE_NOISE))
+    asked = calls
+    types = asked.select("call", "name", F.posexplode(F.regexp_extract_all(kind, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("at", "token")).where(~F.col("token").isin(*TYPE_NOISE))
     by_qualname = _counted(symbols, ["name", "qualname"], "n", "one").where("n = 1")
     typed = types.withColumn("qualname", F.concat_ws(".", "token", "name")).join(by_qualname, ["name", "qualname"]).groupBy("call").agg(F.min_by("one", "at").alias("typed"))
     calls = calls.join(typed, "call", "left")
 
     # import hints: the name's own import, then the receiver's
-    own, head = (hinted(calls, symbols, s, "name").where("n = 1").select("name", F.col("source").alias(s), F.col("one").alias(f"{s}_id")) for s in ("own_source", "head_source"))
+    own, head = (hinted(asked, symbols, s, "name").where("n = 1").select("name", F.col("source").alias(s), F.col("one").alias(f"{s}_id")) for s in ("own_source", "head_source"))
     calls = calls.join(own, ["name", "own_source"], "left").join(head, ["name", "head_source"], "left")
 
     # an import under another name: the name in its source
-    calls = calls.withColumn("original", F.when(F.col("n_candidates").isNull(), F.element_at(path_parts(F.col("own_source")), -1)))
-    alias = hinted(calls.withColumn("own", F.col("own_source")), symbols, "own_source", "original").select(F.col("name").alias("original"), F.col("source").alias("own_source"), F.col("n").alias("alias_n"), F.col("one").alias("alias"))
+    alias = hinted(asked, symbols, "own_source", "original").select(F.col("name").alias("original"), F.col("source").alias("own_source"), F.col("n").alias("alias_n"), F.col("one").alias("alias"))
     calls = calls.join(alias, ["original", "own_source"], "left")
     return calls.select(
         "call", "caller", "caller_id", "path", "name", "text", "receiver", "line", "own_source", "original", "external_receiver",
