@@ -251,7 +251,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "key")).alias("first"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("width").alias("width")), "nodes")
     level, meeting = stored(children(nodes, threshold, runs_for(recall, threshold, depth)), "paths"), []
     for at in range(depth):
-        sizes = level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
+        # stored, so that both sides of the join have an exchange of their own and the rows of a large bucket are split
+        sizes = stored(level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes")
         shared = stored(level.join(sizes, "path"), "shared")
         large = shared.where(F.col("size") > TOGETHER)
         if at == depth - 1 or large.isEmpty():
