@@ -224,6 +224,13 @@ def size_advice(x):
     return lookup.size_advice(full, lookup.outline(x.symbols()), 800)
 
 
+@query
+def sparse_outlines(x):
+    """Every seventh symbol is as long as a hundred lines, so that outlines say little of some files."""
+    full = x.symbols().groupBy("path").agg(F.sum(F.when(F.col("p_partkey") % 7 == 0, 2000).otherwise(20)).alias("full"))
+    return lookup.sparse(lookup.outline(x.symbols()), full).select("path", "outline", "symbols", "full")
+
+
 # packs
 
 
