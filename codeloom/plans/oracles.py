@@ -316,7 +316,7 @@ BODIES: dict[str, tuple[bool, str, str]] = {
     "section_order": (False, "", """SELECT path, row_number() OVER (ORDER BY regexp_replace(path, '/[^/]*$', ''), f DESC, path) AS "rank" FROM (SELECT path, sum(fan_in) AS f FROM deg GROUP BY 1)"""),
     "size_advice": (False, "ol AS (SELECT path, (2 * len(string_split(qualname, '.')) + length(name || '(' || coalesce(param, '') || ')' || coalesce(' -> ' || returns, '') || '  L' || start_line || '-' || end_line)) // 4 AS t FROM sym)", "SELECT path, count(*) * 400 AS full, CAST(sum(t) AS BIGINT) AS outline, CAST(round_even(100 * sum(t) / (count(*) * 400), 0) AS INTEGER) AS percent FROM ol GROUP BY 1 HAVING count(*) * 400 >= 800"),
     "sparse_outlines": (False, "ol AS (SELECT path, p_partkey, (2 * len(string_split(qualname, '.')) + length(name || '(' || coalesce(param, '') || ')' || coalesce(' -> ' || returns, '') || '  L' || start_line || '-' || end_line)) // 4 AS t FROM sym)",
-        "SELECT path, CAST(sum(t) AS BIGINT) AS outline, count(*) AS symbols, CAST(sum(CASE WHEN p_partkey % 7 = 0 THEN 2000 ELSE 20 END) AS BIGINT) AS full FROM ol GROUP BY 1 HAVING full >= 500 AND symbols <= 8 AND outline <= 0.15 * full"),
+        "SELECT * FROM (SELECT path, CAST(sum(t) AS BIGINT) AS outline, count(*) AS symbols, CAST(sum(CASE WHEN p_partkey % 7 = 0 THEN 2000 ELSE 20 END) AS BIGINT) AS \"full\" FROM ol GROUP BY 1) WHERE \"full\" >= 500 AND symbols <= 8 AND outline <= 0.15 * \"full\""),
     "json_budget": (False, MANY + """, js AS (SELECT id, row_number() OVER w AS "rank", '{"id": "' || id || '", "kind": "' || kind || '", "path": "' || path || '", "start_line": ' || start_line || ', "test": ' || test || '}' AS entry FROM (SELECT * FROM cl ORDER BY test, degree DESC, path, start_line LIMIT 50) WINDOW w AS (ORDER BY test, degree DESC, path, start_line)),
         jc AS (SELECT *, (sum(length(entry) + 1) OVER (ORDER BY "rank") - 1) // 4 AS cost FROM js)""", """SELECT id, "rank", cost, entry FROM jc WHERE cost <= 300 OR "rank" = 1"""),
     "budget_all": (False, "", """SELECT id, row_number() OVER w AS "rank", (sum(length(id) + 1) OVER w - 1) // 4 AS cost FROM deg WINDOW w AS (ORDER BY test, degree DESC, path, start_line, id ROWS UNBOUNDED PRECEDING)"""),
