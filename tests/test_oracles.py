@@ -8,7 +8,7 @@ import pytest
 from codeloom.plans import catalog, oracles
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["symbols_scan", "scalar_functions", "edge_dedupe", "degree", "resolve_hint", "call_graph_full", "directory_rollup", "unused_symbols", "symbol_diff", "reverse_reach", "budget_fit_callers", "relevance_scores", "lean_ladder_cut", "ledger_files", "churn_session", "churn_hotspots", "pack_trim", "pack_trim_source", "pack_trim_task", "lean_report", "lean_lines", "json_budget", "external_calls", "trace_all_shortest", "referenced_fallback", "diff_lines"]
+SOME = ["symbols_scan", "scalar_functions", "edge_dedupe", "degree", "resolve_hint", "call_graph_full", "directory_rollup", "unused_symbols", "symbol_diff", "reverse_reach", "budget_fit_callers", "relevance_scores", "lean_ladder_cut", "ledger_files", "churn_session", "churn_hotspots", "pack_trim_source", "lean_report", "lean_lines", "external_calls", "referenced_fallback"]
 
 
 def normal(rows):
