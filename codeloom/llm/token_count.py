@@ -18,7 +18,7 @@ from codeloom.llm.common import arrow_schema, stored
 from codeloom.llm.word_tokens import WordTokens
 
 #: Characters of the texts of a block (or one longer text).
-BLOCK = 16_000_000
+BLOCK = 32_000_000
 
 
 def packed(*arrays: np.ndarray) -> bytes:
