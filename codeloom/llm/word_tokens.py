@@ -14,8 +14,6 @@ from tokenizers import Tokenizer
 #: Words, and pieces, that a worker remembers at most, and their greatest length: tables are bounded in bytes too. A full
 #: one is emptied, which costs time but no result.
 REMEMBERED, SHORT = 500_000, 64
-#: White space that separates words beside the space; the rest is left to the library.
-BREAKS = str.maketrans("\n\t", "  ")
 _OPEN: dict[tuple[str, bool], WordTokens] = {}
 
 
@@ -104,5 +102,5 @@ class WordTokens(dict):
         if not text:
             return []
         if not self.special or len(parts := self.special.split(text)) == 1:
-            return text.translate(BREAKS).split(" ")
-        return [w for i, p in enumerate(parts) for w in ([(self.added[p],)] if i % 2 else p.translate(BREAKS).split(" "))]
+            return text.replace("\n", " ").replace("\t", " ").split(" ")
+        return [w for i, p in enumerate(parts) for w in ([(self.added[p],)] if i % 2 else p.replace("\n", " ").replace("\t", " ").split(" "))]
