@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -40,10 +41,16 @@ def scratch(spark) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder, and read from there: later uses don't compute it again,
-    and a lost executor loses none of it. ``clear_scratch`` removes what an application has stored."""
+    and a lost executor loses none of it. ``clear_scratch`` removes what an application has stored.
+
+    The shuffles that led to it are of no more use. Executors keep their files until the driver has collected what
+    refers to them, so it is told to: else the disk holds the shuffles of all stored tables together.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
