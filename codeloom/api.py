@@ -138,7 +138,7 @@ class CodeMap:
             target = symbols.where(F.col("id") == self.target(name)).select("id")
             scores = packs.pack_scores(packs.neighbours(target, edges, symbols, hops), symbols, edges, self._words(task)) if task else None
             rows, head = packs.packs(target, symbols, edges, self.t["imports"], self.t.get("notes"), self.lines() if source else None, hops, scores), ""
-        return head + "".join(r["text"] for r in packs.rendered(packs.trimmed(rows, tokens)).collect())
+        return head + "".join(r["text"] for r in packs.rendered(packs.trimmed(rows, tokens), self.t["imports"]).collect())
 
     def _words(self, prompt: str) -> tuple[str, ...]:
         return tuple(r[0] for r in self.spark.range(1).select(F.explode(terms(F.lit(prompt)))).collect())

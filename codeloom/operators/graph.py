@@ -7,6 +7,7 @@ and end when a level is empty.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,6 +32,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidied(df: DataFrame) -> DataFrame:
+    """``stored``; then the driver collects its garbage, as executors keep the shuffles that led to a table until it has:
+    else the disk holds those of all stored tables together."""
+    out = stored(df)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
 class Levels:
     """What a search has reached. Levels are stored tables; every sixteenth writes them as one, so that a plan has few of
     them, however long the search."""

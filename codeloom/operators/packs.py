@@ -1,7 +1,8 @@
 """Context packs: what an edit of a symbol needs to know, trimmed to a token budget, for any number of targets at once.
 
 A pack is rows (target, section, position, lines); nothing is put together on the driver, and trimming is a running sum
-over the rows of each target in the order in which they may go.
+over the rows of each target in the order in which they may go. Imports are a row a target until the text is written: a
+file's many imports meet its many targets there, in one partition a file, and are never shuffled.
 """
 
 from __future__ import annotations
@@ -10,13 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import relevance, signature
-from codeloom.operators.graph import degrees, stored
+from codeloom.operators.graph import degrees
+from codeloom.operators.graph import tidied as stored
 from codeloom.schemas import MODULE
 
 #: Sections in the order in which they are shown.
 SECTIONS = ("head", "source", "imports", "symbols", "callers", "callees", "modules")
 TITLES = {"source": "source:", "symbols": "symbols:", "callers": "callers:", "callees": "callees:"}
 TRUNCATED, RESIDUAL = "  … (source truncated)", "module-level callers: "
+#: The imports of a pack: their file, their names, the characters of all their lines and of the one that goes last, and
+#: how many characters have to go (null: none).
+BLOCK = "struct<file: string, names: array<string>, chars: bigint, least: bigint, over: bigint>"
 
 
 def _signature() -> Column:
@@ -32,7 +37,8 @@ def neighbours(targets: DataFrame, edges: DataFrame, symbols: DataFrame, hops: i
     several nodes at once, a neighbour belongs to the least, and is a caller before it is a callee. Module-level callers
     are listed but not gone beyond; ids of neither a symbol nor a module are left out."""
     both = edges.select(F.col("callee").alias("via"), F.col("caller").alias("id"), F.lit(0).alias("d")).unionByName(edges.select(F.col("caller").alias("via"), F.col("callee").alias("id"), F.lit(1).alias("d")))
-    steps = stored(both.join(symbols.select("id"), "id", "left_semi").unionByName(both.where(F.endswith("id", F.lit(MODULE)))))
+    steps = both.join(symbols.select("id"), "id", "left_semi").unionByName(both.where(F.endswith("id", F.lit(MODULE))))
+    steps = stored(steps) if hops > 1 else steps
     frontier = targets.select(F.col("id").alias("target"), "id").distinct()
     seen, found = frontier, []
     for hop in range(1, hops + 1):
@@ -66,19 +72,50 @@ def call_sites(near: DataFrame, edges: DataFrame, lines: DataFrame, k: int = 3)
     called = edges.select(F.col("caller").alias("id"), F.col("callee").alias("target"), F.slice("lines", 1, k).alias("lines"))
     path = F.when(F.endswith("id", F.lit(MODULE)), _module_path("id")).otherwise(F.regexp_extract("id", r"^(.*?)::", 1))
     wanted = direct.join(called, ["target", "id"]).select("target", "id", path.alias("path"), F.explode("lines").alias("line"))
-    return wanted.join(lines, ["path", "line"]).select("target", "id", "line", F.trim("text").alias("text"))
+    return wanted.join(lines.hint("merge"), ["path", "line"]).select("target", "id", "line", F.trim("text").alias("text"))
 
 
-def relevant_imports(heads: DataFrame, shown: DataFrame, imports: DataFrame) -> DataFrame:
-    """(target, ordinal, name, source, relevant): the imports of each target's file; relevant if the name is a whole word of
-    what the pack shows anyway. heads and shown: (target, path, line) and (target, line)."""
-    words = heads.select("target", "line").unionByName(shown.select("target", "line")).select("target", F.explode(F.regexp_extract_all("line", F.lit(r"\w+"), F.lit(0))).alias("name")).distinct().withColumn("relevant", F.lit(True))
-    own = heads.select("target", "path").distinct().join(imports, "path")
-    return own.join(words, ["target", "name"], "left").select("target", "ordinal", "name", "source", F.coalesce("relevant", F.lit(False)).alias("relevant"))
+def _by_file(imports: DataFrame) -> DataFrame:
+    """(file, library, total): the imports of each file, (position, line) by name, and how many they are."""
+    line = F.concat(F.lit("  "), "name", F.lit("  (from "), F.coalesce("source", F.lit("")), F.lit(")"))
+    named = imports.groupBy("path", "name").agg(F.count("*").alias("n"), F.collect_list(F.struct(F.col("ordinal").alias("position"), line.alias("line"))).alias("entries"))
+    pair = F.when(F.col("name").isNotNull(), F.struct("name", "entries"))
+    return named.groupBy(F.col("path").alias("file")).agg(F.map_from_entries(F.collect_list(pair)).alias("library"), F.sum("n").alias("total"))
+
 
+def _leaving(names: Column, library: Column) -> Column:
+    """The lines of imports in the order in which they leave: the last first, then by name."""
+    return F.array_sort(F.flatten(F.transform(names, lambda n: F.transform(library[n], lambda e: F.struct((-e["position"]).alias("p"), n.alias("name"), e["line"].alias("line"))))))
 
-def packs(targets: DataFrame, symbols: DataFrame, edges: DataFrame, imports: DataFrame, notes: DataFrame | None = None, lines: DataFrame | None = None, hops: int = 1, scores: DataFrame | None = None) -> DataFrame:
-    """Packs of all ``targets`` (id): target, section, position, lines (array), path (of module-level callers), leaves.
+
+def relevant_imports(heads: DataFrame, shown: DataFrame, imports: DataFrame) -> DataFrame:
+    """(target, file, names, chars, least, more) of targets whose file imports something: the imported names that are whole
+    words of what the pack shows anyway, the characters of their lines and of the one that leaves last, and how many
+    imports are not among them. heads and shown: (target, path, lines) and (target, lines)."""
+    known = stored(imports.select("name").distinct())
+    words = F.array_distinct(F.regexp_extract_all(F.concat_ws("\n", "lines"), F.lit(r"\w+"), F.lit(0)))
+    said = heads.select("target", F.filter("lines", lambda x: ~F.startswith(x, F.lit("context: "))).alias("lines")).unionByName(shown.select("target", "lines"))
+    found = said.select("target", F.explode(words).alias("name")).join(known, "name", "left_semi")
+    asked = found.repartition("target").distinct().groupBy("target").agg(F.collect_list("name").alias("names"))
+    files = _by_file(imports)
+    # of each name: how many imports, their characters, and the one that leaves last
+    brief = F.transform_values("library", lambda _, e: F.struct(F.size(e).alias("n"), F.aggregate(e, F.lit(0).cast("long"), lambda a, x: a + F.length(x["line"]) + 1).alias("chars"), F.array_max(F.transform(e, lambda x: F.struct((-x["position"]).alias("p"), x["line"].alias("line")))).alias("last")))
+    own = heads.select("target", F.col("path").alias("file")).join(asked, "target", "left").join(files.select("file", "total", brief.alias("brief")), "file")
+    hits = F.filter(F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.struct(n.alias("name"), F.col("brief")[n].alias("b"))), lambda x: x["b"].isNotNull())
+    last = F.array_max(F.transform("hits", lambda x: F.struct(x["b"]["last"]["p"].alias("p"), x["name"].alias("name"), x["b"]["last"]["line"].alias("line"))))
+    zero = F.lit(0).cast("long")
+    sums = own.select("target", "file", "total", hits.alias("hits"))
+    return sums.select(
+        "target", "file", F.transform("hits", lambda x: x["name"]).alias("names"),
+        F.aggregate("hits", zero, lambda a, x: a + x["b"]["chars"]).alias("chars"),
+        (F.length(last["line"]) + 1).cast("long").alias("least"),
+        (F.col("total") - F.aggregate("hits", zero, lambda a, x: a + x["b"]["n"])).alias("more"),
+    )
+
+
+def packs(targets: DataFrame, symbols: DataFrame, edges: DataFrame, imports: DataFrame, notes: DataFrame | None = None, lines: DataFrame | None = None, hops: int = 1, scores: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
+    """Packs of all ``targets`` (id): target, section, position, lines (array), path (of module-level callers), leaves, block
+    (of the row that stands for all imports; ``rendered`` writes their lines). ``near``: their neighbours, if known.
 
     leaves is the order in which rows may be left out, null for those that always stay: imports from the last, then
     neighbours by their score (``scores``: target, id, score; the lowest first), distance (the farthest first) and degree
@@ -92,7 +129,7 @@ def packs(targets: DataFrame, symbols: DataFrame, edges: DataFrame, imports: Dat
         n = notes.groupBy(F.col("symbol_id").alias("target")).agg(F.array_sort(F.collect_list(F.concat(F.lit("  note: "), "text"))).alias("n"))
         head = head.join(n, "target", "left").select("target", "path", F.when(F.col("n").isNull(), F.col("lines")).otherwise(F.concat("lines", "n")).alias("lines"))
     head = stored(head)
-    near = stored(neighbours(targets, edges, symbols, hops))
+    near = neighbours(targets, edges, symbols, hops) if near is None else near
     shown = entries(near, edges, symbols)
     first = F.concat(F.lit("  ["), F.col("hop").cast("string"), F.lit("] "), "path", F.lit(":"), F.col("line").cast("string"), F.lit("  "), "signature")
     body = F.when(F.coalesce("doc", F.lit("")) == "", F.array(first)).otherwise(F.array(first, F.concat(F.lit("      doc: "), "doc")))
@@ -104,14 +141,10 @@ def packs(targets: DataFrame, symbols: DataFrame, edges: DataFrame, imports: Dat
         shown = shown.join(scores.select("target", "id", "score"), ["target", "id"], "left")
     shown = stored(shown.withColumn("score", F.coalesce("score", F.lit(0.0)) if scores is not None else F.lit(0.0)))
 
-    texts = head.select("target", "path", F.explode("lines").alias("line")).where(~F.startswith("line", F.lit("context: ")))
-    listed = stored(relevant_imports(texts, shown.select("target", F.explode("lines").alias("line")), imports))
-    kept = listed.where("relevant")
-    irrelevant = listed.groupBy("target").agg(F.count_if(~F.col("relevant")).alias("more"), F.count_if("relevant").alias("kept")).where("more > 0 OR kept > 0")
-    titled = irrelevant.join(head.select("target", "path"), "target")
-    title = titled.select("target", F.lit("imports").alias("section"), F.lit(0).alias("position"), F.array(F.concat(F.lit("imports ("), "path", F.lit("):"))).alias("lines"), (F.col("more") == 0).alias("title"))
-    more = irrelevant.where("more > 0").select("target", F.lit("imports").alias("section"), F.lit(1 << 30).alias("position"), F.array(F.concat(F.lit("  +"), F.col("more").cast("string"), F.lit(" more imports (irrelevant to this pack)"))).alias("lines"))
-    none = {"path": F.lit(None).cast("string"), "title": F.lit(False), "stage": F.lit(None).cast("int"), "keys": F.lit(None).cast("struct<a: double, b: double, c: double, d: string>")}
+    listed = stored(relevant_imports(head, shown, imports))
+    title = listed.select("target", F.lit("imports").alias("section"), F.lit(0).alias("position"), F.array(F.concat(F.lit("imports ("), "file", F.lit("):"))).alias("lines"), (F.col("more") == 0).alias("title"))
+    more = listed.where("more > 0").select("target", F.lit("imports").alias("section"), F.lit(1 << 30).alias("position"), F.array(F.concat(F.lit("  +"), F.col("more").cast("string"), F.lit(" more imports (irrelevant to this pack)"))).alias("lines"))
+    none = {"path": F.lit(None).cast("string"), "title": F.lit(False), "block": F.lit(None).cast(BLOCK), "stage": F.lit(None).cast("int"), "keys": F.lit(None).cast("struct<a: double, b: double, c: double, d: string>")}
 
     def rows(df: DataFrame, **given: Column) -> DataFrame:
         return df.withColumns({c: given.get(c, v) for c, v in none.items() if c in given or c not in df.columns}).select("target", "section", "position", "lines", *none)
@@ -121,8 +154,9 @@ def packs(targets: DataFrame, symbols: DataFrame, edges: DataFrame, imports: Dat
 
     parts = [rows(head.select("target", F.lit("head").alias("section"), F.lit(0).alias("position"), "lines")), rows(title), rows(more)]
     zero = F.lit(0)
-    named = kept.select("target", F.lit("imports").alias("section"), F.col("ordinal").alias("position"), F.array(F.concat(F.lit("  "), "name", F.lit("  (from "), "source", F.lit(")"))).alias("lines"), "name")
-    parts.append(rows(named, stage=F.lit(0), keys=key(-F.col("position"), zero, zero, F.col("name"))))
+    block = F.struct("file", "names", "chars", "least", F.lit(None).cast("long").alias("over")).cast(BLOCK)
+    named = listed.where("size(names) > 0").select("target", F.lit("imports").alias("section"), F.lit(1).alias("position"), F.array().cast("array<string>").alias("lines"), block.alias("block"))
+    parts.append(rows(named, stage=F.lit(0), keys=key(zero, zero, zero, F.lit(""))))
     section = F.when(F.col("direction") == "caller", "callers").otherwise("callees")
     order = Window.partitionBy("target", "direction").orderBy("hop", "path", "line", "id")
     placed = shown.withColumn("position", F.row_number().over(order))
@@ -131,7 +165,11 @@ def packs(targets: DataFrame, symbols: DataFrame, edges: DataFrame, imports: Dat
         some = shown.where(F.col("direction") == direction).select("target").distinct()
         parts.append(rows(some.select("target", F.lit(name).alias("section"), F.lit(0).alias("position"), F.array(F.lit(TITLES[name])).alias("lines"), F.lit(True).alias("title"))))
     if lines is not None:
-        span = own.select("target", "path", "start_line", "end_line").join(lines, "path").where("line BETWEEN start_line AND end_line").select("target", F.lit("source").alias("section"), F.col("line").alias("position"), F.array(F.concat(F.lit("  "), "text")).alias("lines"))
+        long = lines.groupBy("path").agg(F.max("line").alias("n"))  # no span goes beyond its file
+        spans = own.select("target", "path", "start_line", "end_line").join(long, "path").withColumn("end", F.least("end_line", "n")).where("start_line <= end")
+        at = spans.select("target", "path", F.explode(F.sequence(F.col("start_line"), F.col("end"))).alias("line"))
+        span = at.join(lines.hint("merge"), ["path", "line"]).select("target", F.lit("source").alias("section"), F.col("line").alias("position"), F.array(F.concat(F.lit("  "), "text")).alias("lines"))
+        span = stored(span)
         parts.append(rows(span, stage=F.lit(2), keys=key(-F.col("position"), zero, zero, F.lit(""))))
         parts.append(rows(span.select("target").distinct().select("target", F.lit("source").alias("section"), F.lit(0).alias("position"), F.array(F.lit(TITLES["source"])).alias("lines"), F.lit(True).alias("title"))))
     out = parts[0]
@@ -145,48 +183,64 @@ def trimmed(rows: DataFrame, budget: int | None) -> DataFrame:
     """The rows of ``packs`` that stay within ``budget`` tokens a target, with the lines that trimming itself adds.
 
     A title goes with the last row of its section; the first line of source that goes leaves a line that says so, which
-    goes with the last; the path of a module-level caller is named at the end once all its entries are gone.
+    goes with the last; the path of a module-level caller is named at the end once all its entries are gone. Imports go
+    first, the last of them first: their row says how many characters of them have to go, if some may stay.
     """
+    if "block" not in rows.columns:
+        rows = rows.withColumn("block", F.lit(None).cast(BLOCK))
     if budget is None:
         return rows.drop("leaves", "title")
-    chars = F.aggregate(F.transform("lines", lambda x: F.length(x) + 1), F.lit(0), lambda a, n: a + n)
+    leaves = F.col("leaves").isNotNull()
+    chars = F.coalesce("block.chars", F.aggregate(F.transform("lines", lambda x: F.length(x) + 1), F.lit(0), lambda a, n: a + n))
     priced = rows.withColumn("chars", chars)
     group = Window.partitionBy("target", "section")
-    last = F.col("leaves") == F.max("leaves").over(group)
+    last = leaves & (F.col("leaves") == F.max("leaves").over(group))
     titles = F.coalesce(F.sum(F.when(F.col("title"), F.col("chars"))).over(group), F.lit(0))
     first_source = (F.col("section") == "source") & (F.col("leaves") == F.min("leaves").over(group))
     note = len(TRUNCATED) + 1
     saved = F.col("chars") + F.when(last, titles).otherwise(0) - F.when(first_source, note).otherwise(0) + F.when(last & (F.col("section") == "source"), note).otherwise(0)
-    closes = F.col("path").isNotNull() & (F.col("leaves") == F.max("leaves").over(Window.partitionBy("target", "path")))
-    priced = priced.withColumns({"saved": saved, "last": last, "closes": closes, "all": F.sum("chars").over(Window.partitionBy("target"))})
+    closes = leaves & F.col("path").isNotNull() & (F.col("leaves") == F.max("leaves").over(Window.partitionBy("target", "path")))
+    priced = priced.withColumns({"saved": saved, "last": F.coalesce(last, F.lit(False)), "closes": F.coalesce(closes, F.lit(False)), "all": F.sum("chars").over(Window.partitionBy("target"))})
     opens = F.col("closes") & (F.col("leaves") == F.min(F.when(F.col("closes"), F.col("leaves"))).over(Window.partitionBy("target")))
-    priced = priced.withColumn("saved", F.col("saved") - F.when(F.col("closes"), F.length("path") + 2).otherwise(0) - F.when(opens, len(RESIDUAL) - 1).otherwise(0))
+    priced = priced.withColumn("saved", F.when(leaves, F.col("saved") - F.when(F.col("closes"), F.length("path") + 2).otherwise(0) - F.when(opens, len(RESIDUAL) - 1).otherwise(0)).otherwise(0))
     before = Window.partitionBy("target").orderBy("leaves").rowsBetween(Window.unboundedPreceding, -1)
     to_here = Window.partitionBy("target").orderBy("leaves").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    leaving = priced.where("leaves IS NOT NULL").withColumn("fits", F.floor((F.col("all") - 1 - F.coalesce(F.sum("saved").over(before), F.lit(0))) / 4) <= budget)
-    judged = stored(leaving.withColumn("stays", F.max("fits").over(to_here)))
-    gone = judged.where("NOT stays")
-    titles_gone = gone.where("last").select("target", "section").distinct()
-    kept = judged.where("stays").select("target", "section", "position", "lines", "path")
-    always = rows.where("leaves IS NULL")
-    fixed = always.where("NOT title").unionByName(always.where("title").join(titles_gone, ["target", "section"], "left_anti"))
+    fits = F.floor((F.col("all") - 1 - F.coalesce(F.sum("saved").over(before), F.lit(0))) / 4) <= budget
+    judged = priced.withColumn("fits", F.when(leaves, fits)).withColumn("stays", F.max("fits").over(to_here))
+    # an import stays if those that go before it have the characters that are over
+    over = F.when(~F.col("stays"), F.col("all") - 4 * (budget + 1))
+    judged = judged.withColumn("block", F.when(F.col("block").isNotNull(), F.col("block").withField("over", over)))
+    judged = judged.withColumn("stays", F.col("stays") | F.coalesce(F.col("block.chars") - F.col("block.least") >= F.col("block.over"), F.lit(False)))
+    titles_go = F.coalesce(F.max(F.when(F.col("last"), ~F.col("stays"))).over(group), F.lit(False))
+    keep = F.when(leaves, F.col("stays")).otherwise(~(F.col("title") & titles_go))
+    judged = judged.withColumn("keep", keep).where("keep OR closes OR section = 'source'")
+    judged = stored(judged.select("target", "section", "position", F.when(F.col("keep"), F.col("lines")).alias("lines"), "path", "block", leaves.alias("leaves"), "keep", "last", "closes"))
+    gone = judged.where("leaves AND NOT keep")
     cut = gone.where("section = 'source'").groupBy("target").agg(F.max("last").alias("whole")).where("NOT whole")
     cut = cut.select("target", F.lit("source").alias("section"), F.lit(1 << 30).alias("position"), F.array(F.lit(TRUNCATED)).alias("lines"))
     residual = gone.where("closes").groupBy("target").agg(F.array_join(F.array_sort(F.collect_set("path")), ", ").alias("p"))
     residual = residual.select("target", F.lit("modules").alias("section"), F.lit(0).alias("position"), F.array(F.concat(F.lit(RESIDUAL), "p")).alias("lines"))
-    shown = ["target", "section", "position", "lines"]
-    out = kept.select(*shown)
-    for part in (fixed, cut, residual):
-        out = out.unionByName(part.select(*shown))
+    out = judged.where("keep").select("target", "section", "position", "lines", "block")
+    for part in (cut, residual):
+        out = out.unionByName(part.withColumn("block", F.lit(None).cast(BLOCK)))
     return out
 
 
-def rendered(rows: DataFrame) -> DataFrame:
-    """(target, text, tokens) of trimmed packs."""
+def rendered(rows: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """(target, text, tokens) of trimmed packs; ``imports`` as given to ``packs``."""
     place = F.create_map(*(x for i, s in enumerate(SECTIONS) for x in (F.lit(s), F.lit(i))))
-    each = rows.groupBy("target").agg(F.array_sort(F.collect_list(F.struct(place[F.col("section")].alias("s"), "position", "lines"))).alias("r"))
+    plain = F.when(F.col("block").isNull(), F.struct(place[F.col("section")].alias("s"), "position", "lines"))
+    each = rows.groupBy("target").agg(F.array_sort(F.collect_list(plain)).alias("r"), F.max("block").alias("block"))
+    if imports is not None:
+        each = each.withColumn("at", F.coalesce("block.file", "target")).join(_by_file(imports).select(F.col("file").alias("at"), "library"), "at", "left")
+        each = each.withColumn("e", _leaving(F.col("block.names"), F.col("library")))
+        over, start = F.col("block.over"), F.struct(F.lit(0).cast("long").alias("before"), F.lit(0).alias("n"))
+        gone = F.aggregate("e", start, lambda a, e: F.struct((a["before"] + F.length(e["line"]) + 1).alias("before"), (a["n"] + F.when(a["before"] < over, 1).otherwise(0)).alias("n")), lambda a: a["n"])
+        each = each.withColumn("e", F.when(over.isNull(), F.col("e")).otherwise(F.slice("e", gone + 1, F.greatest(F.size("e"), F.lit(0)))))
+        named = F.transform("e", lambda e: F.struct(F.lit(SECTIONS.index("imports")).alias("s"), (-e["p"]).alias("position"), F.array(e["line"]).alias("lines")))
+        each = each.withColumn("r", F.when(F.col("block").isNull(), F.col("r")).otherwise(F.array_sort(F.concat("r", named))))
     text = F.array_join(F.flatten(F.transform("r", lambda x: x["lines"])), "\n")
-    return each.select("target", text.alias("text"), F.floor(F.length(text) / 4).alias("tokens"))
+    return each.select("target", text.alias("text")).withColumn("tokens", F.floor(F.length("text") / 4))
 
 
 def pack_scores(near: DataFrame, symbols: DataFrame, edges: DataFrame, task: tuple[str, ...], weight: float = 0.5) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import is_test_path
+from codeloom.operators.graph import tidied
 from codeloom.schemas import MODULE
 
 
@@ -34,6 +35,13 @@ class Fixtures:
         params = F.when(F.col("p_partkey") % 3 == 0, F.array(F.struct(F.lit("ring").alias("name"), F.concat(F.lit("Optional["), typed, F.lit("]")).alias("type")))).otherwise(F.array().cast("array<struct<name: string, type: string>>"))
         return s.select("p_partkey", "id", "name", "qualname", "kind", "path", F.lit("python").alias("language"), params.alias("params"), F.when(F.col("p_partkey") % 4 == 0, "int").alias("returns"), "start_line", (F.col("start_line") + 8).alias("end_line"), (F.col("p_partkey") % 11 == 0).alias("decorated"), (F.col("p_partkey") % 13 == 0).alias("exported"), F.lit(None).cast("string").alias("doc"), is_test_path(F.col("path")).alias("test"), "p_retailprice")
 
+    def paired(self) -> Fixtures:
+        """The same with its pairs written once: each table that is derived from them sorts all lines of orders else."""
+        out = Fixtures(self.spark, self.dir, self.fine)
+        pairs = tidied(self.pairs())
+        out.pairs = lambda: pairs
+        return out
+
     def pairs(self) -> DataFrame:
         lines = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag")
         order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
