@@ -138,25 +138,33 @@ def file_neighbourhood(edges: DataFrame, symbols: DataFrame, path: str) -> DataF
     return own.withColumn("module", F.when(F.endswith("id", F.lit(MODULE)), F.regexp_replace("id", f"{MODULE}$", "")))
 
 
-def shortest_paths(edges: DataFrame, symbols: DataFrame, source: str, target: str) -> DataFrame:
-    """(length, path) of all shortest call paths between two symbols, of any length; none if there is none. Modules are no
-    steps. Every level keeps all least-depth predecessors, so paths are put together from these alone."""
-    spark = edges.sparkSession
+def _steps(edges: DataFrame, symbols: DataFrame, source: str, target: str) -> list[DataFrame]:
+    """(id, next) of each level of a search from ``source``, up to the one that reaches ``target``; none if none does.
+    Modules are no steps. Every level keeps all least-depth predecessors."""
     ids = symbols.select("id")
-    if source == target:
-        return spark.createDataFrame([(0, [source])], "length int, path array<string>")
     out = stored(edges.select(F.col("caller").alias("id"), F.col("callee").alias("next")).distinct().join(ids.withColumnRenamed("id", "next"), "next", "left_semi"))
-    frontier = spark.createDataFrame([(source,)], "id string")
+    frontier = edges.sparkSession.createDataFrame([(source,)], "id string")
     seen, levels = Levels(frontier), []
     while True:
         step = stored(frontier.join(out, "id").join(seen.all().withColumnRenamed("id", "next"), "next", "left_anti").select("id", "next"))
         if step.isEmpty():
-            return spark.createDataFrame([], "length int, path array<string>")
+            return []
         levels.append(step)
         if not step.where(F.col("next") == target).isEmpty():
-            break
+            return levels
         frontier = stored(step.select(F.col("next").alias("id")).distinct())
         seen.add(frontier)
+
+
+def shortest_paths(edges: DataFrame, symbols: DataFrame, source: str, target: str) -> DataFrame:
+    """(length, path) of all shortest call paths between two symbols, of any length; none if there is none. Paths are put
+    together from the steps of the levels alone."""
+    spark = edges.sparkSession
+    if source == target:
+        return spark.createDataFrame([(0, [source])], "length int, path array<string>")
+    levels = _steps(edges, symbols, source, target)
+    if not levels:
+        return spark.createDataFrame([], "length int, path array<string>")
     paths = spark.createDataFrame([(target, [target])], "at string, path array<string>")
     for n, step in enumerate(reversed(levels), 1):
         paths = paths.join(step, paths["at"] == step["next"]).select(F.col("id").alias("at"), F.concat(F.array("id"), "path").alias("path"))
@@ -165,6 +173,23 @@ def shortest_paths(edges: DataFrame, symbols: DataFrame, source: str, target: st
     return paths.select(F.lit(len(levels)).alias("length"), "path")
 
 
+def path_count(edges: DataFrame, symbols: DataFrame, source: str, target: str) -> DataFrame:
+    """(length, paths): how many shortest call paths there are, one row; no row if there is none. They are counted level by
+    level, a row for each symbol, and never put together."""
+    spark = edges.sparkSession
+    if source == target:
+        return spark.createDataFrame([(0, 1)], "length int, paths long")
+    levels = _steps(edges, symbols, source, target)
+    if not levels:
+        return spark.createDataFrame([], "length int, paths long")
+    counts = spark.createDataFrame([(target, 1)], "at string, paths long")
+    for n, step in enumerate(reversed(levels), 1):
+        counts = counts.join(step, counts["at"] == step["next"]).groupBy(F.col("id").alias("at")).agg(F.sum("paths").alias("paths"))
+        if n % 16 == 0:
+            counts = stored(counts)
+    return counts.select(F.lit(len(levels)).alias("length"), "paths")
+
+
 def projection(edges: DataFrame, scope: str = "file") -> DataFrame:
     """(src, dst): distinct edges between files ("file"), directories ("dir") or symbols, without loops."""
     def end(c: str):

@@ -545,7 +545,7 @@ def file_neighbourhood(x):
 
 @query
 def trace_path_lengths(x):
-    return graph.shortest_paths(edges_of(x), x.symbols(), id_of(x, 7), id_of(x, 11)).agg(F.max("length").alias("length"), F.count("*").alias("paths"))
+    return graph.path_count(edges_of(x), x.symbols(), id_of(x, 7), id_of(x, 11))
 
 
 @query

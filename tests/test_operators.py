@@ -170,3 +170,21 @@ def test_transcripts_are_found(tmp_path):
 def test_same_paths(spark):
     a, b = (spark.createDataFrame([(x,) for x in p], "path string") for p in (["x", "y", "x"], ["y", "x"]))
     assert change.same_paths(a, b) and not change.same_paths(a, b.limit(1))
+
+
+def test_paths_are_counted_and_none_is_no_row(world, spark):
+    symbols, edges, ids = world
+    count = lambda a, b: [tuple(r) for r in graph.path_count(edges, symbols, ids[a], ids[b]).collect()]
+    assert (count("a", "d"), count("t", "d"), count("a", "a"), count("a", "e")) == ([(2, 2)], [(3, 2)], [(0, 1)], [])
+
+
+def test_path_lengths_of_symbols_that_no_path_connects(spark, tmp_path):
+    """The SQL has no row then."""
+    parts = [(k, "a gear", "Brand#1", "STANDARD", k, 1.0) for k in range(1, 13)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(1, 1, 7), (1, 2, 3), (2, 1, 11), (2, 2, 4)]
+    rows = [(o, n, k, 1, 1.0, 50.0, 0.1, "A") for o, n, k in lines]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_discount double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    from codeloom.plans import catalog
+
+    assert catalog.QUERIES["trace_path_lengths"](spark, str(tmp_path)).collect() == []
