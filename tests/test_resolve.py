@@ -55,3 +55,16 @@ def test_empty_tables(spark):
     c, s, i, f = tables(spark, [("a.py", "f", "function")], [("a.py::f", "a.py", None, "g", 1)])
     graph = resolve.call_graph(c.limit(0), s.limit(0), i, f.limit(0), c.drop("text").limit(0))
     assert all(t.isEmpty() for t in graph.values())
+
+
+def test_owners_are_listed_once_a_name_not_for_each_asker(spark):
+    symbols = [("a.py", "f", "function"), ("a.py", "g", "function"), ("tests/b.py", "h", "function"), ("c.py", "h", "function"), ("d.py", "h", "function"), ("u.py", "t", "function"), ("v/u.py", "t", "function")]
+    calls = [("a.py::f", "a.py", None, "h", 1), ("a.py::g", "a.py", None, "h", 2), ("a.py::g", "a.py", None, "h", 3), ("a.py::f", "a.py", None, "al", 4)]
+    c, s, i, f = tables(spark, symbols, calls, [("a.py", "al", "v.u.t")])
+    found = resolve.ambiguous_of(resolve.decide(resolve.rungs(c, s, i, f)), s, ",")
+    h = ("h", 3, "c.py::h,d.py::h,tests/b.py::h")
+    assert sorted((r["caller"], r["name"], r["n"], r["candidates"]) for r in found.collect()) == [("a.py::f", "al", 2, "u.py::t,v/u.py::t"), ("a.py::f", *h), ("a.py::g", *h)]
+    lists = resolve.ambiguous_of(resolve.decide(resolve.rungs(c, s, i, f)), s)
+    assert sorted(len(r["candidates"]) for r in lists.collect()) == [2, 3, 3]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and not any("collect_list" in x and "caller" in x for x in plan.split("\n"))
