@@ -10,25 +10,46 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import dir_of
 from codeloom.schemas import MODULE
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written to the folder that the session shares (spark.checkpoint.dir), and read from there."""
-    spark = df.sparkSession
+#: The tables that the round under way has stored.
+_ROUND: ContextVar[list[str] | None] = ContextVar("round", default=None)
+
+
+def _new_path(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="codeloom-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/codeloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return f"{folder}/codeloom-{uuid.uuid4().hex}"
+
+
+def _write(df: DataFrame, path: str) -> None:
+    df.write.mode("append").option("compression", "zstd").parquet(path)
+
+
+def _collect_garbage(spark: SparkSession) -> None:
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written to the folder that the session shares (spark.checkpoint.dir), and read from there."""
+    spark = df.sparkSession
+    path = _new_path(spark)
+    if (made := _ROUND.get()) is not None:
+        made.append(path)
+    _write(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -36,11 +57,44 @@ def tidied(df: DataFrame) -> DataFrame:
     """``stored``; then the driver collects its garbage, as executors keep the shuffles that led to a table until it has:
     else the disk holds those of all stored tables together."""
     out = stored(df)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    _collect_garbage(df.sparkSession)
     return out
 
 
+def rounds(df: DataFrame, rows: int) -> int:
+    """How many rounds of about ``rows`` rows hold all of ``df``."""
+    return max(1, -(-df.count() // rows))
+
+
+def in_round(key: Column | str, k: int, n: int) -> Column:
+    """Whether a key is dealt to round ``k`` of ``n``. Every key is in exactly one round, null too."""
+    return F.pmod(F.xxhash64(key), F.lit(n)) == k
+
+
+def in_rounds(n: int, make: Callable[[int], DataFrame]) -> DataFrame:
+    """``make(k)`` for each k below ``n``, as one stored table. A round is written before the next begins; what it has
+    stored on its way is removed then, and its shuffles go, so the disk holds the work of one round at a time."""
+    path = None
+    for k in range(n):
+        made: list[str] = []
+        token = _ROUND.set(made)
+        try:
+            df = make(k)
+            spark, schema = df.sparkSession, df.schema
+            path = path or _new_path(spark)
+            _write(df, path)
+        finally:
+            _ROUND.reset(token)
+        del df
+        for old in made:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(old)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _collect_garbage(spark)
+    if (outer := _ROUND.get()) is not None:
+        outer.append(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 class Levels:
     """What a search has reached. Levels are stored tables; every sixteenth writes them as one, so that a plan has few of
     them, however long the search."""

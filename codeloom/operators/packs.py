@@ -7,11 +7,13 @@ file's many imports meet its many targets there, in one partition a file, and ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import relevance, signature
-from codeloom.operators.graph import degrees
+from codeloom.operators.graph import degrees, in_round, in_rounds, rounds
 from codeloom.operators.graph import tidied as stored
 from codeloom.schemas import MODULE
 
@@ -22,6 +24,8 @@ TRUNCATED, RESIDUAL = "  … (source truncated)", "module-level callers: "
 #: The imports of a pack: their file, their names, the characters of all their lines and of the one that goes last, and
 #: how many characters have to go (null: none).
 BLOCK = "struct<file: string, names: array<string>, chars: bigint, least: bigint, over: bigint>"
+#: Edges whose packs are made at a time.
+EDGES = 500_000
 
 
 def _signature() -> Column:
@@ -53,11 +57,15 @@ def neighbours(targets: DataFrame, edges: DataFrame, symbols: DataFrame, hops: i
     return out
 
 
-def entries(near: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``near`` with what is shown of each neighbour: kind, path, line, signature, doc, degree. A module-level caller becomes
-    one entry for each line that it calls from, so that none is a path without a place."""
-    rated = degrees(symbols, edges).select("id", "kind", "path", F.col("start_line").alias("line"), _signature().alias("signature"), "doc", "degree")
-    named = near.join(rated, "id")
+def listing(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, kind, path, line, signature, doc, degree): what is shown of each symbol as a neighbour."""
+    return degrees(symbols, edges).select("id", "kind", "path", F.col("start_line").alias("line"), _signature().alias("signature"), "doc", "degree")
+
+
+def entries(near: DataFrame, edges: DataFrame, symbols: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """``near`` with what is shown of each neighbour (``listed``: the listing of symbols, if known). A module-level caller
+    becomes one entry for each line that it calls from, so that none is a path without a place."""
+    named = near.join(listing(symbols, edges) if listed is None else listed, "id")
     sites = edges.where(F.endswith("caller", F.lit(MODULE))).select(F.col("caller").alias("id"), F.col("callee").alias("via"), F.explode("lines").alias("line"))
     module_degree = edges.where(F.endswith("caller", F.lit(MODULE))).groupBy(F.col("caller").alias("id")).agg(F.count_distinct("callee").alias("degree"))
     promoted = near.join(sites, ["id", "via"]).join(module_degree, "id").withColumns({"kind": F.lit("module"), "path": _module_path("id"), "doc": F.lit(None).cast("string")})
@@ -75,8 +83,10 @@ def call_sites(near: DataFrame, edges: DataFrame, lines: DataFrame, k: int = 3)
     return wanted.join(lines.hint("merge"), ["path", "line"]).select("target", "id", "line", F.trim("text").alias("text"))
 
 
-def _by_file(imports: DataFrame) -> DataFrame:
+def by_file(imports: DataFrame) -> DataFrame:
     """(file, library, total): the imports of each file, (position, line) by name, and how many they are."""
+    if "library" in imports.columns:
+        return imports
     line = F.concat(F.lit("  "), "name", F.lit("  (from "), F.coalesce("source", F.lit("")), F.lit(")"))
     named = imports.groupBy("path", "name").agg(F.count("*").alias("n"), F.collect_list(F.struct(F.col("ordinal").alias("position"), line.alias("line"))).alias("entries"))
     pair = F.when(F.col("name").isNotNull(), F.struct("name", "entries"))
@@ -92,12 +102,12 @@ def relevant_imports(heads: DataFrame, shown: DataFrame, imports: DataFrame) ->
     """(target, file, names, chars, least, more) of targets whose file imports something: the imported names that are whole
     words of what the pack shows anyway, the characters of their lines and of the one that leaves last, and how many
     imports are not among them. heads and shown: (target, path, lines) and (target, lines)."""
-    known = stored(imports.select("name").distinct())
+    files = by_file(imports)
+    known = stored(files.select(F.explode(F.map_keys("library")).alias("name")).distinct())
     words = F.array_distinct(F.regexp_extract_all(F.concat_ws("\n", "lines"), F.lit(r"\w+"), F.lit(0)))
     said = heads.select("target", F.filter("lines", lambda x: ~F.startswith(x, F.lit("context: "))).alias("lines")).unionByName(shown.select("target", "lines"))
     found = said.select("target", F.explode(words).alias("name")).join(known, "name", "left_semi")
     asked = found.repartition("target").distinct().groupBy("target").agg(F.collect_list("name").alias("names"))
-    files = _by_file(imports)
     # of each name: how many imports, their characters, and the one that leaves last
     brief = F.transform_values("library", lambda _, e: F.struct(F.size(e).alias("n"), F.aggregate(e, F.lit(0).cast("long"), lambda a, x: a + F.length(x["line"]) + 1).alias("chars"), F.array_max(F.transform(e, lambda x: F.struct((-x["position"]).alias("p"), x["line"].alias("line")))).alias("last")))
     own = heads.select("target", F.col("path").alias("file")).join(asked, "target", "left").join(files.select("file", "total", brief.alias("brief")), "file")
@@ -113,9 +123,11 @@ def relevant_imports(heads: DataFrame, shown: DataFrame, imports: DataFrame) ->
     )
 
 
-def packs(targets: DataFrame, symbols: DataFrame, edges: DataFrame, imports: DataFrame, notes: DataFrame | None = None, lines: DataFrame | None = None, hops: int = 1, scores: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
+def packs(targets: DataFrame, symbols: DataFrame, edges: DataFrame, imports: DataFrame, notes: DataFrame | None = None, lines: DataFrame | None = None, hops: int = 1, scores: DataFrame | None = None, near: DataFrame | None = None, listed: DataFrame | None = None, calls: DataFrame | None = None) -> DataFrame:
     """Packs of all ``targets`` (id): target, section, position, lines (array), path (of module-level callers), leaves, block
-    (of the row that stands for all imports; ``rendered`` writes their lines). ``near``: their neighbours, if known.
+    (of the row that stands for all imports; ``rendered`` writes their lines). ``imports``: as they are, or ``by_file``.
+    If known: ``near``, their neighbours, ``listed``, the listing of all symbols, and ``calls``, the edges to targets; with
+    near and listed, ``symbols`` need be no more than the targets.
 
     leaves is the order in which rows may be left out, null for those that always stay: imports from the last, then
     neighbours by their score (``scores``: target, id, score; the lowest first), distance (the farthest first) and degree
@@ -130,20 +142,20 @@ def packs(targets: DataFrame, symbols: DataFrame, edges: DataFrame, imports: Dat
         head = head.join(n, "target", "left").select("target", "path", F.when(F.col("n").isNull(), F.col("lines")).otherwise(F.concat("lines", "n")).alias("lines"))
     head = stored(head)
     near = neighbours(targets, edges, symbols, hops) if near is None else near
-    shown = entries(near, edges, symbols)
+    shown = entries(near, edges, symbols, listed)
     first = F.concat(F.lit("  ["), F.col("hop").cast("string"), F.lit("] "), "path", F.lit(":"), F.col("line").cast("string"), F.lit("  "), "signature")
     body = F.when(F.coalesce("doc", F.lit("")) == "", F.array(first)).otherwise(F.array(first, F.concat(F.lit("      doc: "), "doc")))
     shown = shown.withColumn("lines", body)
     if lines is not None:
-        sites = call_sites(near, edges, lines).groupBy("target", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: F.concat(F.lit("      > "), s["line"].cast("string"), F.lit(": "), s["text"])).alias("sites"))
+        sites = call_sites(near, edges if calls is None else calls, lines).groupBy("target", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: F.concat(F.lit("      > "), s["line"].cast("string"), F.lit(": "), s["text"])).alias("sites"))
         shown = shown.join(sites, ["target", "id"], "left").withColumn("lines", F.when(F.col("sites").isNull(), F.col("lines")).otherwise(F.concat("lines", "sites"))).drop("sites")
     if scores is not None:
         shown = shown.join(scores.select("target", "id", "score"), ["target", "id"], "left")
     shown = stored(shown.withColumn("score", F.coalesce("score", F.lit(0.0)) if scores is not None else F.lit(0.0)))
 
-    listed = stored(relevant_imports(head, shown, imports))
-    title = listed.select("target", F.lit("imports").alias("section"), F.lit(0).alias("position"), F.array(F.concat(F.lit("imports ("), "file", F.lit("):"))).alias("lines"), (F.col("more") == 0).alias("title"))
-    more = listed.where("more > 0").select("target", F.lit("imports").alias("section"), F.lit(1 << 30).alias("position"), F.array(F.concat(F.lit("  +"), F.col("more").cast("string"), F.lit(" more imports (irrelevant to this pack)"))).alias("lines"))
+    found = stored(relevant_imports(head, shown, imports))
+    title = found.select("target", F.lit("imports").alias("section"), F.lit(0).alias("position"), F.array(F.concat(F.lit("imports ("), "file", F.lit("):"))).alias("lines"), (F.col("more") == 0).alias("title"))
+    more = found.where("more > 0").select("target", F.lit("imports").alias("section"), F.lit(1 << 30).alias("position"), F.array(F.concat(F.lit("  +"), F.col("more").cast("string"), F.lit(" more imports (irrelevant to this pack)"))).alias("lines"))
     none = {"path": F.lit(None).cast("string"), "title": F.lit(False), "block": F.lit(None).cast(BLOCK), "stage": F.lit(None).cast("int"), "keys": F.lit(None).cast("struct<a: double, b: double, c: double, d: string>")}
 
     def rows(df: DataFrame, **given: Column) -> DataFrame:
@@ -155,7 +167,7 @@ def packs(targets: DataFrame, symbols: DataFrame, edges: DataFrame, imports: Dat
     parts = [rows(head.select("target", F.lit("head").alias("section"), F.lit(0).alias("position"), "lines")), rows(title), rows(more)]
     zero = F.lit(0)
     block = F.struct("file", "names", "chars", "least", F.lit(None).cast("long").alias("over")).cast(BLOCK)
-    named = listed.where("size(names) > 0").select("target", F.lit("imports").alias("section"), F.lit(1).alias("position"), F.array().cast("array<string>").alias("lines"), block.alias("block"))
+    named = found.where("size(names) > 0").select("target", F.lit("imports").alias("section"), F.lit(1).alias("position"), F.array().cast("array<string>").alias("lines"), block.alias("block"))
     parts.append(rows(named, stage=F.lit(0), keys=key(zero, zero, zero, F.lit(""))))
     section = F.when(F.col("direction") == "caller", "callers").otherwise("callees")
     order = Window.partitionBy("target", "direction").orderBy("hop", "path", "line", "id")
@@ -179,6 +191,22 @@ def packs(targets: DataFrame, symbols: DataFrame, edges: DataFrame, imports: Dat
     return out.withColumn("leaves", F.when(F.col("stage").isNotNull(), F.row_number().over(leaving))).drop("stage", "keys")
 
 
+def by_rounds(targets: DataFrame, symbols: DataFrame, edges: DataFrame, imports: DataFrame, finish: Callable[[DataFrame, DataFrame], DataFrame], **options: DataFrame) -> DataFrame:
+    """``finish(rows, imports)`` of the packs of all ``targets``, some targets after others. A target's pack depends on no
+    other target, so the rounds are the whole; each shuffles only what its own targets need, and what all rounds read is
+    derived once. Symbols and edges are read again in each round: stored tables. ``options`` as of ``packs``."""
+    n = rounds(edges, EDGES)
+    listed, files = stored(listing(symbols, edges)), stored(by_file(imports))
+
+    def some(k: int) -> DataFrame:
+        mine = targets.where(in_round("id", k, n))
+        calls = edges.where(in_round("callee", k, n))
+        near = neighbours(mine, calls.unionByName(edges.where(in_round("caller", k, n) & ~in_round("callee", k, n))), symbols)
+        return finish(packs(mine, symbols.where(in_round("id", k, n)), edges, files, near=near, listed=listed, calls=calls, **options), files)
+
+    return in_rounds(n, some) if n > 1 else some(0)
+
+
 def trimmed(rows: DataFrame, budget: int | None) -> DataFrame:
     """The rows of ``packs`` that stay within ``budget`` tokens a target, with the lines that trimming itself adds.
 
@@ -232,7 +260,7 @@ def rendered(rows: DataFrame, imports: DataFrame | None = None) -> DataFrame:
     plain = F.when(F.col("block").isNull(), F.struct(place[F.col("section")].alias("s"), "position", "lines"))
     each = rows.groupBy("target").agg(F.array_sort(F.collect_list(plain)).alias("r"), F.max("block").alias("block"))
     if imports is not None:
-        each = each.withColumn("at", F.coalesce("block.file", "target")).join(_by_file(imports).select(F.col("file").alias("at"), "library"), "at", "left")
+        each = each.withColumn("at", F.coalesce("block.file", "target")).join(by_file(imports).select(F.col("file").alias("at"), "library"), "at", "left")
         each = each.withColumn("e", _leaving(F.col("block.names"), F.col("library")))
         over, start = F.col("block.over"), F.struct(F.lit(0).cast("long").alias("before"), F.lit(0).alias("n"))
         gone = F.aggregate("e", start, lambda a, e: F.struct((a["before"] + F.length(e["line"]) + 1).alias("before"), (a["n"] + F.when(a["before"] < over, 1).otherwise(0)).alias("n")), lambda a: a["n"])

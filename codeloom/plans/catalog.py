@@ -247,37 +247,41 @@ def call_site_excerpts(x):
 
 
 def _tables(x: Fixtures) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Symbols, edges and imports, written first, as a real map's are."""
-    x = x.paired()
-    return graph.tidied(x.symbols()), graph.tidied(x.module_edges()), graph.tidied(x.imports())
+    """Symbols, edges and imports of written fixtures, imports written as well, as a real map's are."""
+    return x.symbols(), x.module_edges(), graph.tidied(x.imports())
 
 
 def _text(x: Fixtures, budget: int | None, **options) -> DataFrame:
+    def finish(rows: DataFrame, imports: DataFrame) -> DataFrame:
+        return packs.rendered(packs.trimmed(rows, budget), imports).select("target", "tokens", F.md5("text").alias("text"))
+
     symbols, edges, imports = _tables(x)
-    return packs.rendered(packs.trimmed(packs.packs(symbols, symbols, edges, imports, **options), budget), imports).select("target", "tokens", F.md5("text").alias("text"))
+    return packs.by_rounds(symbols, symbols, edges, imports, finish, **options)
 
 
 @query
 def pack_whole(x):
     """A pack of every symbol, with its notes."""
-    return _text(x, None, notes=x.notes())
+    x = x.written()
+    return _text(x, None, notes=graph.stored(x.notes()))
 
 
 @query
 def pack_trim(x):
-    return _text(x, 90)
+    return _text(x.written(), 90)
 
 
 @query
 def pack_trim_source(x):
     """Packs with the body and call sites, whose source has to go in part."""
+    x = x.written()
     return _text(x, 60, lines=graph.stored(x.source_lines()))
 
 
 @query
 def pack_trim_task(x):
     """By what a task says: neighbours that it doesn't mean go first."""
-    symbols, edges, imports = _tables(x)
+    symbols, edges, imports = _tables(x.written())
     near = packs.neighbours(symbols, edges, symbols, 1)
     scores = packs.pack_scores(near, symbols, edges, TASK)
     rows = packs.packs(symbols, symbols, edges, imports, scores=scores, near=near)

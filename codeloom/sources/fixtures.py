@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import is_test_path
-from codeloom.operators.graph import tidied
+from codeloom.operators.graph import in_round, in_rounds, rounds, tidied
 from codeloom.schemas import MODULE
 
+#: Lines of orders that are sorted at a time, and pairs that meet their symbols at a time.
+LINES, PAIRS = 6_000_000, 1_000_000
+
 
 class Fixtures:
     """Symbols from ``part``; calls, imports and edges from neighbouring lines of orders. ``fine`` makes names rarer."""
@@ -36,29 +39,46 @@ class Fixtures:
         return s.select("p_partkey", "id", "name", "qualname", "kind", "path", F.lit("python").alias("language"), params.alias("params"), F.when(F.col("p_partkey") % 4 == 0, "int").alias("returns"), "start_line", (F.col("start_line") + 8).alias("end_line"), (F.col("p_partkey") % 11 == 0).alias("decorated"), (F.col("p_partkey") % 13 == 0).alias("exported"), F.lit(None).cast("string").alias("doc"), is_test_path(F.col("path")).alias("test"), "p_retailprice")
 
     def paired(self) -> Fixtures:
-        """The same with its pairs written once: each table that is derived from them sorts all lines of orders else."""
+        """The same with its pairs written once, some orders after others: each table that is derived from them sorts all
+        lines of orders else."""
         out = Fixtures(self.spark, self.dir, self.fine)
-        pairs = tidied(self.pairs())
+        lines = self.table("lineitem")
+        n = rounds(lines, LINES)
+        pairs = in_rounds(n, lambda k: self.pairs(lines.where(in_round("l_orderkey", k, n))))
         out.pairs = lambda: pairs
         return out
 
-    def pairs(self) -> DataFrame:
-        lines = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag")
+    def written(self) -> Fixtures:
+        """``paired``, with symbols written once too, and module edges made of some callees after others."""
+        out = self.paired()
+        symbols, pairs = tidied(out.symbols()), out.pairs()
+        out.symbols = lambda: symbols
+        n = rounds(pairs, PAIRS)
+        edges = in_rounds(n, lambda k: out.edges_of(pairs.where(in_round("dst", k, n))))
+        out.module_edges = lambda: edges
+        return out
+
+    def pairs(self, lines: DataFrame | None = None) -> DataFrame:
+        """Of ``lines``, whole orders; of all, if not given."""
+        lines = (self.table("lineitem") if lines is None else lines).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag")
         order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
         return lines.withColumn("dst", F.lead("l_partkey").over(order)).where("dst IS NOT NULL AND l_quantity >= 46").select(F.col("l_partkey").alias("src"), "dst", (F.col("l_orderkey") % 500 + 1).cast("int").alias("line"), "l_returnflag", "l_discount")
 
-    def named_pairs(self) -> DataFrame:
+    def named_pairs(self, pairs: DataFrame | None = None) -> DataFrame:
         s = self.symbols()
         a, b = (s.select(F.col("p_partkey").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("id", "name", "path", "qualname"))) for k in ("src", "dst"))
-        return self.pairs().join(a, "src").join(b, "dst")
+        return (self.pairs() if pairs is None else pairs).join(a, "src").join(b, "dst")
 
     def raw_edges(self) -> DataFrame:
         return self.named_pairs().where("src <> dst").select(F.col("src_id").alias("caller"), F.col("dst_id").alias("callee"), "line")
 
     def module_edges(self) -> DataFrame:
         """Edges of which some come from the top level of a file."""
+        return self.edges_of()
+
+    def edges_of(self, pairs: DataFrame | None = None) -> DataFrame:
         caller = F.when(F.col("line") % 50 != 0, F.col("src_id")).otherwise(F.concat("src_path", F.lit(MODULE)))
-        found = self.named_pairs().select(caller.alias("caller"), F.col("dst_id").alias("callee"), "line").where("caller <> callee")
+        found = self.named_pairs(pairs).select(caller.alias("caller"), F.col("dst_id").alias("callee"), "line").where("caller <> callee")
         return found.groupBy("caller", "callee").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
     def described(self) -> DataFrame:
