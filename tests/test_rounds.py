@@ -74,3 +74,12 @@ def test_pack_whole_is_made_by_rounds(spark, small, written):
     assert found.count() == fixtures.Fixtures(spark, DATA).symbols().count()
     assert max(near) < 0.6 * sum(near)
     assert len(folders(spark) - before) <= 8  # pairs, symbols, edges, notes, imports, the listing, imports by file, packs
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["pack_trim"])
+def test_trimmed_packs_are_made_by_rounds(spark, small, written, name):
+    catalog.QUERIES[name](spark, DATA)
+    for column in ("via", "keep"):
+        sizes = [n for c, n in written if column in c and "signature" not in c]
+        assert max(sizes) < 0.6 * sum(sizes), column
