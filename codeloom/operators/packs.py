@@ -57,15 +57,17 @@ def neighbours(targets: DataFrame, edges: DataFrame, symbols: DataFrame, hops: i
     return out
 
 
-def listing(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, kind, path, line, signature, doc, degree): what is shown of each symbol as a neighbour."""
-    return degrees(symbols, edges).select("id", "kind", "path", F.col("start_line").alias("line"), _signature().alias("signature"), "doc", "degree")
+def listing(symbols: DataFrame, edges: DataFrame, task: tuple[str, ...] | None = None) -> DataFrame:
+    """(id, kind, path, line, signature, doc, degree): what is shown of each symbol as a neighbour; with a task raw, how much
+    of it the symbol means."""
+    raw = {} if task is None else {"raw": relevance(F.concat_ws(" ", "qualname", _signature()), F.col("path"), task)}
+    return degrees(symbols, edges).withColumns(raw).select("id", "kind", "path", F.col("start_line").alias("line"), _signature().alias("signature"), "doc", "degree", *raw)
 
 
 def entries(near: DataFrame, edges: DataFrame, symbols: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     """``near`` with what is shown of each neighbour (``listed``: the listing of symbols, if known). A module-level caller
     becomes one entry for each line that it calls from, so that none is a path without a place."""
-    named = near.join(listing(symbols, edges) if listed is None else listed, "id")
+    named = near.join(listing(symbols, edges) if listed is None else listed.drop("raw"), "id")
     sites = edges.where(F.endswith("caller", F.lit(MODULE))).select(F.col("caller").alias("id"), F.col("callee").alias("via"), F.explode("lines").alias("line"))
     module_degree = edges.where(F.endswith("caller", F.lit(MODULE))).groupBy(F.col("caller").alias("id")).agg(F.count_distinct("callee").alias("degree"))
     promoted = near.join(sites, ["id", "via"]).join(module_degree, "id").withColumns({"kind": F.lit("module"), "path": _module_path("id"), "doc": F.lit(None).cast("string")})
@@ -191,18 +193,19 @@ def packs(targets: DataFrame, symbols: DataFrame, edges: DataFrame, imports: Dat
     return out.withColumn("leaves", F.when(F.col("stage").isNotNull(), F.row_number().over(leaving))).drop("stage", "keys")
 
 
-def by_rounds(targets: DataFrame, symbols: DataFrame, edges: DataFrame, imports: DataFrame, finish: Callable[[DataFrame, DataFrame], DataFrame], **options: DataFrame) -> DataFrame:
-    """``finish(rows, imports)`` of the packs of all ``targets``, some targets after others. A target's pack depends on no
+def by_rounds(targets: DataFrame, symbols: DataFrame, edges: DataFrame, imports: DataFrame, finish: Callable[[DataFrame, DataFrame], DataFrame], notes: DataFrame | None = None, lines: DataFrame | None = None, task: tuple[str, ...] | None = None) -> DataFrame:
+    """``finish(rows, imports)`` of the packs of all ``targets`` with direct neighbours, some targets after others. A target's pack depends on no
     other target, so the rounds are the whole; each shuffles only what its own targets need, and what all rounds read is
-    derived once. Symbols and edges are read again in each round: stored tables. ``options`` as of ``packs``."""
+    derived once. Symbols and edges are read again in each round: stored tables. ``task`` scores the neighbours."""
     n = rounds(edges, EDGES)
-    listed, files = stored(listing(symbols, edges)), stored(by_file(imports))
+    listed, files = stored(listing(symbols, edges, task)), stored(by_file(imports))
 
     def some(k: int) -> DataFrame:
         mine = targets.where(in_round("id", k, n))
         calls = edges.where(in_round("callee", k, n))
         near = neighbours(mine, calls.unionByName(edges.where(in_round("caller", k, n) & ~in_round("callee", k, n))), symbols)
-        return finish(packs(mine, symbols.where(in_round("id", k, n)), edges, files, near=near, listed=listed, calls=calls, **options), files)
+        scores = None if task is None else pack_scores(near, symbols, edges, task, listed=listed)
+        return finish(packs(mine, symbols.where(in_round("id", k, n)), edges, files, near=near, listed=listed, calls=calls, notes=notes, lines=lines, scores=scores), files)
 
     return in_rounds(n, some) if n > 1 else some(0)
 
@@ -271,9 +274,10 @@ def rendered(rows: DataFrame, imports: DataFrame | None = None) -> DataFrame:
     return each.select("target", text.alias("text")).withColumn("tokens", F.floor(F.length("text") / 4))
 
 
-def pack_scores(near: DataFrame, symbols: DataFrame, edges: DataFrame, task: tuple[str, ...], weight: float = 0.5) -> DataFrame:
-    """(target, id, score): neighbours of each target by what the task says and by degree, each scaled within the pack."""
-    rated = degrees(symbols, edges).select("id", relevance(F.concat_ws(" ", "qualname", _signature()), F.col("path"), task).alias("raw"), "degree")
+def pack_scores(near: DataFrame, symbols: DataFrame, edges: DataFrame, task: tuple[str, ...], weight: float = 0.5, listed: DataFrame | None = None) -> DataFrame:
+    """(target, id, score): neighbours of each target by what the task says and by degree, each scaled within the pack.
+    ``listed``: the listing of symbols by the task, if known."""
+    rated = (listing(symbols, edges, task) if listed is None else listed).select("id", "raw", "degree")
     w = Window.partitionBy("target")
     found = near.select("target", "id").join(rated, "id").withColumns({"top": F.max("raw").over(w), "lo": F.min("degree").over(w), "hi": F.max("degree").over(w)})
     lexical = F.when(F.col("top") > 0, F.col("raw") / F.col("top")).otherwise(0.0)

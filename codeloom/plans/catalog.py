@@ -281,11 +281,11 @@ def pack_trim_source(x):
 @query
 def pack_trim_task(x):
     """By what a task says: neighbours that it doesn't mean go first."""
+    def finish(rows: DataFrame, imports: DataFrame) -> DataFrame:
+        return packs.trimmed(rows, 90).where("section IN ('callers', 'callees') AND position > 0").select("target", "section", "position", F.get("lines", F.lit(0)).alias("line"))
+
     symbols, edges, imports = _tables(x.written())
-    near = packs.neighbours(symbols, edges, symbols, 1)
-    scores = packs.pack_scores(near, symbols, edges, TASK)
-    rows = packs.packs(symbols, symbols, edges, imports, scores=scores, near=near)
-    return packs.trimmed(rows, 90).where("section IN ('callers', 'callees') AND position > 0").select("target", "section", "position", F.get("lines", F.lit(0)).alias("line"))
+    return packs.by_rounds(symbols, symbols, edges, imports, finish, task=TASK)
 
 
 # resolution

@@ -77,7 +77,26 @@ def test_pack_whole_is_made_by_rounds(spark, small, written):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["pack_trim"])
+def test_trimming_by_rounds_is_trimming_of_all(spark, monkeypatch, written):
+    """With scores or without; no table of judged rows holds those of all targets."""
+    x = fixtures.Fixtures(spark, DATA).written()
+    symbols, edges, imports = x.symbols(), x.module_edges(), graph.stored(x.imports())
+
+    def finish(rows, files):
+        return packs.rendered(packs.trimmed(rows, 90), files)
+
+    def made():
+        written.clear()
+        return packs.by_rounds(symbols, symbols, edges, imports, finish, task=catalog.TASK), [n for c, n in written if "keep" in c]
+
+    whole, (judged,) = made()
+    monkeypatch.setattr(packs, "EDGES", edges.count() // 2 - 1)
+    parts, some = made()
+    assert same(parts, whole) and sum(some) == judged and max(some) < 0.6 * judged
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["pack_trim", "pack_trim_task"])
 def test_trimmed_packs_are_made_by_rounds(spark, small, written, name):
     catalog.QUERIES[name](spark, DATA)
     for column in ("via", "keep"):
