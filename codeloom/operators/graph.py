@@ -20,6 +20,8 @@ from codeloom.functions.text import dir_of
 from codeloom.schemas import MODULE
 
 
+#: Whether executors drop the shuffles of a query as soon as it has ended, not when the driver has collected its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The tables that the round under way has stored.
 _ROUND: ContextVar[list[str] | None] = ContextVar("round", default=None)
 
@@ -35,7 +37,16 @@ def _new_path(spark: SparkSession) -> str:
 
 
 def _write(df: DataFrame, path: str) -> None:
-    df.write.mode("append").option("compression", "zstd").parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("append").option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            conf.unset(CLEANUP)
+        else:
+            conf.set(CLEANUP, before)
 
 
 def _collect_garbage(spark: SparkSession) -> None:
@@ -120,10 +131,11 @@ def adjacency(edges: DataFrame, direction: str = "in") -> DataFrame:
     return edges.groupBy(F.col(of).alias("id")).agg(F.array_sort(F.collect_set(other)).alias("neighbours"))
 
 
-def degrees(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """``symbols`` with fan_in, fan_out and degree: distinct neighbours, module-level callers included."""
+def degrees(symbols: DataFrame, edges: DataFrame, calling: DataFrame | None = None) -> DataFrame:
+    """``symbols`` with fan_in, fan_out and degree: distinct neighbours, module-level callers included. ``edges`` need be
+    no more than those to the symbols if those from them are given as ``calling``."""
     n_in = edges.groupBy(F.col("callee").alias("id")).agg(F.count_distinct("caller").alias("fan_in"))
-    n_out = edges.groupBy(F.col("caller").alias("id")).agg(F.count_distinct("callee").alias("fan_out"))
+    n_out = (edges if calling is None else calling).groupBy(F.col("caller").alias("id")).agg(F.count_distinct("callee").alias("fan_out"))
     out = symbols.join(n_in, "id", "left").join(n_out, "id", "left").fillna(0, ["fan_in", "fan_out"])
     return out.withColumn("degree", F.col("fan_in") + F.col("fan_out"))
 

@@ -36,11 +36,23 @@ def _module_path(c: str) -> Column:
     return F.regexp_replace(c, f"{MODULE}$", "")
 
 
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("callee").alias("via"), F.col("caller").alias("id"), F.lit(0).alias("d")).unionByName(edges.select(F.col("caller").alias("via"), F.col("callee").alias("id"), F.lit(1).alias("d")))
+
+
+def direct(targets: DataFrame, edges: DataFrame) -> DataFrame:
+    """``neighbours`` within one hop, dealt out by target once; ids of neither a symbol nor a module are not left out yet, as
+    ``entries`` and ``pack_scores`` do that."""
+    steps = _both(edges).where("via <> id").join(targets.select(F.col("id").alias("via")), "via", "left_semi")
+    found = steps.groupBy("via", "id").agg(F.min("d").alias("d"))
+    return stored(found.select(F.col("via").alias("target"), "id", "via", F.lit(1).alias("hop"), F.when(F.col("d") == 0, "caller").otherwise("callee").alias("direction")))
+
+
 def neighbours(targets: DataFrame, edges: DataFrame, symbols: DataFrame, hops: int = 1) -> DataFrame:
     """(target, id, via, hop, direction) of all that calls or is called within ``hops`` of each target (id); found from
     several nodes at once, a neighbour belongs to the least, and is a caller before it is a callee. Module-level callers
     are listed but not gone beyond; ids of neither a symbol nor a module are left out."""
-    both = edges.select(F.col("callee").alias("via"), F.col("caller").alias("id"), F.lit(0).alias("d")).unionByName(edges.select(F.col("caller").alias("via"), F.col("callee").alias("id"), F.lit(1).alias("d")))
+    both = _both(edges)
     steps = both.join(symbols.select("id"), "id", "left_semi").unionByName(both.where(F.endswith("id", F.lit(MODULE))))
     steps = stored(steps) if hops > 1 else steps
     frontier = targets.select(F.col("id").alias("target"), "id").distinct()
@@ -57,11 +69,11 @@ def neighbours(targets: DataFrame, edges: DataFrame, symbols: DataFrame, hops: i
     return out
 
 
-def listing(symbols: DataFrame, edges: DataFrame, task: tuple[str, ...] | None = None) -> DataFrame:
+def listing(symbols: DataFrame, edges: DataFrame, task: tuple[str, ...] | None = None, calling: DataFrame | None = None) -> DataFrame:
     """(id, kind, path, line, signature, doc, degree): what is shown of each symbol as a neighbour; with a task raw, how much
-    of it the symbol means."""
+    of it the symbol means. ``calling``: as for ``degrees``."""
     raw = {} if task is None else {"raw": relevance(F.concat_ws(" ", "qualname", _signature()), F.col("path"), task)}
-    return degrees(symbols, edges).withColumns(raw).select("id", "kind", "path", F.col("start_line").alias("line"), _signature().alias("signature"), "doc", "degree", *raw)
+    return degrees(symbols, edges, calling).withColumns(raw).select("id", "kind", "path", F.col("start_line").alias("line"), _signature().alias("signature"), "doc", "degree", *raw)
 
 
 def entries(near: DataFrame, edges: DataFrame, symbols: DataFrame, listed: DataFrame | None = None) -> DataFrame:
@@ -158,39 +170,41 @@ def packs(targets: DataFrame, symbols: DataFrame, edges: DataFrame, imports: Dat
     found = stored(relevant_imports(head, shown, imports))
     title = found.select("target", F.lit("imports").alias("section"), F.lit(0).alias("position"), F.array(F.concat(F.lit("imports ("), "file", F.lit("):"))).alias("lines"), (F.col("more") == 0).alias("title"))
     more = found.where("more > 0").select("target", F.lit("imports").alias("section"), F.lit(1 << 30).alias("position"), F.array(F.concat(F.lit("  +"), F.col("more").cast("string"), F.lit(" more imports (irrelevant to this pack)"))).alias("lines"))
-    none = {"path": F.lit(None).cast("string"), "title": F.lit(False), "block": F.lit(None).cast(BLOCK), "stage": F.lit(None).cast("int"), "keys": F.lit(None).cast("struct<a: double, b: double, c: double, d: string>")}
+    empty = {"path": "string", "block": BLOCK, "stage": "int", "hop": "int", "at": "string", "line": "int", "id": "string", "degree": "long", "score": "double"}
+    none = {"title": F.lit(False)} | {c: F.lit(None).cast(kind) for c, kind in empty.items()}
 
     def rows(df: DataFrame, **given: Column) -> DataFrame:
         return df.withColumns({c: given.get(c, v) for c, v in none.items() if c in given or c not in df.columns}).select("target", "section", "position", "lines", *none)
 
-    def key(a: Column, b: Column, c: Column, d: Column) -> Column:
-        return F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"), c.cast("double").alias("c"), d.cast("string").alias("d"))
-
     parts = [rows(head.select("target", F.lit("head").alias("section"), F.lit(0).alias("position"), "lines")), rows(title), rows(more)]
-    zero = F.lit(0)
     block = F.struct("file", "names", "chars", "least", F.lit(None).cast("long").alias("over")).cast(BLOCK)
     named = found.where("size(names) > 0").select("target", F.lit("imports").alias("section"), F.lit(1).alias("position"), F.array().cast("array<string>").alias("lines"), block.alias("block"))
-    parts.append(rows(named, stage=F.lit(0), keys=key(zero, zero, zero, F.lit(""))))
+    parts.append(rows(named, stage=F.lit(0)))
     section = F.when(F.col("direction") == "caller", "callers").otherwise("callees")
-    order = Window.partitionBy("target", "direction").orderBy("hop", "path", "line", "id")
-    placed = shown.withColumn("position", F.row_number().over(order))
-    parts.append(rows(placed.withColumn("section", section), stage=F.lit(1), keys=key(F.col("score"), -F.col("hop"), F.col("degree"), F.concat_ws("|", "direction", "id", F.lpad(F.col("line").cast("string"), 9, "0"))), path=F.when(F.col("kind") == "module", F.col("path"))))
-    for direction, name in (("caller", "callers"), ("callee", "callees")):
-        some = shown.where(F.col("direction") == direction).select("target").distinct()
-        parts.append(rows(some.select("target", F.lit(name).alias("section"), F.lit(0).alias("position"), F.array(F.lit(TITLES[name])).alias("lines"), F.lit(True).alias("title"))))
+    beside = shown.select("target", section.alias("section"), F.lit(0).alias("position"), "lines", F.when(F.col("kind") == "module", F.col("path")).alias("path"), "hop", F.col("path").alias("at"), "line", "id", "degree", "score")
+    parts.append(rows(beside, stage=F.lit(1)))
     if lines is not None:
         long = lines.groupBy("path").agg(F.max("line").alias("n"))  # no span goes beyond its file
         spans = own.select("target", "path", "start_line", "end_line").join(long, "path").withColumn("end", F.least("end_line", "n")).where("start_line <= end")
         at = spans.select("target", "path", F.explode(F.sequence(F.col("start_line"), F.col("end"))).alias("line"))
         span = at.join(lines.hint("merge"), ["path", "line"]).select("target", F.lit("source").alias("section"), F.col("line").alias("position"), F.array(F.concat(F.lit("  "), "text")).alias("lines"))
-        span = stored(span)
-        parts.append(rows(span, stage=F.lit(2), keys=key(-F.col("position"), zero, zero, F.lit(""))))
-        parts.append(rows(span.select("target").distinct().select("target", F.lit("source").alias("section"), F.lit(0).alias("position"), F.array(F.lit(TITLES["source"])).alias("lines"), F.lit(True).alias("title"))))
+        parts.append(rows(span, stage=F.lit(2)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    leaving = Window.partitionBy("target").orderBy(F.col("stage").asc_nulls_last(), "keys")
-    return out.withColumn("leaves", F.when(F.col("stage").isNotNull(), F.row_number().over(leaving))).drop("stage", "keys")
+    # rows are dealt out by target once: their keys, places and titles are made where they meet
+    direction = F.when(F.col("section") == "callers", "caller").otherwise("callee")
+    text = F.when(F.col("stage") == 1, F.concat_ws("|", direction, "id", F.lpad(F.col("line").cast("string"), 9, "0")))
+    out = out.repartition("target").withColumns({"first": F.when(F.col("stage") == 2, -F.col("position")).otherwise(F.col("score")), "far": -F.col("hop"), "text": text})
+    leaving = Window.partitionBy("target").orderBy(F.col("stage").asc_nulls_last(), "first", "far", "degree", "text")
+    order = Window.partitionBy("target", "section").orderBy("hop", "at", "line", "id")
+    out = out.withColumn("leaves", F.when(F.col("stage").isNotNull(), F.row_number().over(leaving))).withColumn("nth", F.row_number().over(order))
+    titles = F.create_map(*(F.lit(x) for s in ("source", "callers", "callees") for x in (s, TITLES[s])))
+    heads = (F.col("nth") == 1) & F.col("section").isin("source", "callers", "callees")
+    out = out.withColumn("added", F.explode(F.when(heads, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    position = F.when(F.col("added"), 0).when(F.col("stage") == 1, F.col("nth")).otherwise(F.col("position"))
+    lines = F.when(F.col("added"), F.array(titles[F.col("section")])).otherwise(F.col("lines"))
+    return out.select("target", "section", position.alias("position"), lines.alias("lines"), F.when(~F.col("added"), F.col("path")).alias("path"), (F.col("title") | F.col("added")).alias("title"), F.when(~F.col("added"), F.col("block")).alias("block"), F.when(~F.col("added"), F.col("leaves")).alias("leaves"))
 
 
 def by_rounds(targets: DataFrame, symbols: DataFrame, edges: DataFrame, imports: DataFrame, finish: Callable[[DataFrame, DataFrame], DataFrame], notes: DataFrame | None = None, lines: DataFrame | None = None, task: tuple[str, ...] | None = None) -> DataFrame:
@@ -198,12 +212,13 @@ def by_rounds(targets: DataFrame, symbols: DataFrame, edges: DataFrame, imports:
     other target, so the rounds are the whole; each shuffles only what its own targets need, and what all rounds read is
     derived once. Symbols and edges are read again in each round: stored tables. ``task`` scores the neighbours."""
     n = rounds(edges, EDGES)
-    listed, files = stored(listing(symbols, edges, task)), stored(by_file(imports))
+    files = stored(by_file(imports))
+    listed = in_rounds(n, lambda k: listing(symbols.where(in_round("id", k, n)), edges.where(in_round("callee", k, n)), task, edges.where(in_round("caller", k, n))))
 
     def some(k: int) -> DataFrame:
         mine = targets.where(in_round("id", k, n))
         calls = edges.where(in_round("callee", k, n))
-        near = neighbours(mine, calls.unionByName(edges.where(in_round("caller", k, n) & ~in_round("callee", k, n))), symbols)
+        near = direct(mine, calls.unionByName(edges.where(in_round("caller", k, n) & ~in_round("callee", k, n))))
         scores = None if task is None else pack_scores(near, symbols, edges, task, listed=listed)
         return finish(packs(mine, symbols.where(in_round("id", k, n)), edges, files, near=near, listed=listed, calls=calls, notes=notes, lines=lines, scores=scores), files)
 

@@ -1,6 +1,8 @@
 """Tables made in rounds: the whole, with the work of one round on disk at a time."""
 
 import os
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +42,14 @@ def folders(spark):
     return set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")))
 
 
+def shuffles(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    found = set()
+    while files.hasNext():
+        found.add(files.next().getName())
+    return {int(m[1]) for name in found if (m := re.match(r"shuffle_(\d+)_\d+_\d+\.data$", name))}
+
+
 def same(a, b):
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
@@ -102,3 +112,37 @@ def test_trimmed_packs_are_made_by_rounds(spark, small, written, name):
     for column in ("via", "keep"):
         sizes = [n for c, n in written if column in c and "signature" not in c]
         assert max(sizes) < 0.6 * sum(sizes), column
+
+
+def test_shuffles_go_with_the_query_that_made_them(spark):
+    """No garbage has to be collected for that, and the session's own setting stays."""
+    old, before = shuffles(spark), spark.conf.get(graph.CLEANUP, None)
+    found = graph.stored(spark.range(1000).repartition(3, "id").groupBy(F.col("id") % 7).count())
+    until = time.time() + 20
+    while shuffles(spark) - old and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles(spark) - old and found.count() == 7
+    assert spark.conf.get(graph.CLEANUP, None) == before
+
+
+@needs_tables
+def test_rows_of_packs_are_dealt_out_by_target_once(spark):
+    x = fixtures.Fixtures(spark, DATA).written()
+    symbols, edges = x.symbols(), x.module_edges()
+    near = packs.direct(symbols, edges)
+    found = packs.packs(symbols, symbols, edges, x.imports(), near=near)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(target") == 1
+    known = packs.entries(packs.neighbours(symbols, edges, symbols), edges, symbols)
+    assert same(packs.entries(near, edges, symbols), known)
+
+
+@needs_tables
+@pytest.mark.parametrize("words", [1, 1 << 17])
+def test_orders_without_a_call_are_not_sorted(spark, monkeypatch, words):
+    """Few bits leave more lines; none that makes a pair goes, of orders without a key either."""
+    monkeypatch.setattr(fixtures, "WORDS", words)
+    x = fixtures.Fixtures(spark, DATA)
+    lines = x.table("lineitem").withColumn("l_orderkey", F.when(F.col("l_orderkey") % 50 > 0, F.col("l_orderkey")))
+    some = x.calling(lines)
+    assert same(x.pairs(some), x.pairs(lines)) and same(some, some.intersectAll(lines))
+    assert words == 1 or some.count() < 0.6 * lines.count()
